@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.session import ship
+from .bpe import op7_rank_queue_bpe
+from .golomb import OP9_SQL, op9_golomb_exchange
 from .planes import op1_bit_planes
 
+_QUERIES = [op1_bit_planes, op7_rank_queue_bpe, op9_golomb_exchange]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bit_planes": op1_bit_planes}
+    return {f.__name__: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)) for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_golomb_exchange": OP9_SQL}

@@ -49,7 +49,7 @@ class PieceEncoder:
         parts = text.split()
         if self.words:
             return None if any(c in text for c in "\x1c\x1d\x1e\x1f") else parts
-        if not parts or len(parts) != text.count(" ") + text.count("\n") + 1:
+        if not parts or len(text) != sum(map(len, parts)) + len(parts) - 1:
             return None
         parts = text.replace("\n", " \n").split(" ")
         parts[0] = "\0" + parts[0]  # no space stands before the first piece
