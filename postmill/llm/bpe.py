@@ -23,6 +23,8 @@ from .work import columns
 
 #: Pre-token pieces that a worker remembers; beyond that it starts afresh.
 CACHE_PIECES = 600_000
+#: The same for single pre-tokens.
+KNOWN = 300_000
 #: Unicode's White_Space property, for the body of a character class.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -127,9 +129,20 @@ class ByteBpe:
         self.tokens = {i: t for t, i in ranks.items()}
         pattern = pattern.replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
         self.find = regex.compile(pattern, regex.V1).findall
+        self.known: dict[str, list[int]] = {}
 
     def encode(self, text: str) -> list[int]:
-        return [i for piece in self.find(text) for i in merge(piece.encode(), self.ranks)]
+        out, known = [], self.known
+        for piece in self.find(text):
+            ids = known.get(piece)
+            if ids is None:
+                ids = merge(piece.encode(), self.ranks)
+                if len(piece) <= 64:
+                    if len(known) >= KNOWN:
+                        known.clear()
+                    known[piece] = ids
+            out += ids
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
