@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.session import ship
 from .bpe import op7_rank_queue_bpe
+from .cutting_stock import op2_cutting_stock
 from .golomb import OP9_SQL, op9_golomb_exchange
 from .planes import op1_bit_planes
 
-_QUERIES = [op1_bit_planes, op7_rank_queue_bpe, op9_golomb_exchange]
+_QUERIES = [op1_bit_planes, op2_cutting_stock, op7_rank_queue_bpe, op9_golomb_exchange]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
