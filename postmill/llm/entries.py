@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from ..plans.session import ship
 from .bpe import op7_rank_queue_bpe
 from .cutting_stock import op2_cutting_stock
+from .decision_list import op8_decision_list
 from .golomb import OP9_SQL, op9_golomb_exchange
 from .planes import op1_bit_planes
+from .toxicity import op10_classifier_chain
 
-_QUERIES = [op1_bit_planes, op2_cutting_stock, op7_rank_queue_bpe, op9_golomb_exchange]
+_QUERIES = [op1_bit_planes, op2_cutting_stock, op7_rank_queue_bpe, op8_decision_list, op9_golomb_exchange, op10_classifier_chain]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
