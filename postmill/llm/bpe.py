@@ -22,19 +22,19 @@ from .pieces import text_groups
 from .work import columns
 
 #: Pre-token pieces that a worker remembers; beyond that it starts afresh.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 900_000
 #: The same for single pre-tokens.
-KNOWN = 300_000
+KNOWN = 700_000
 #: Unicode's White_Space property, for the body of a character class.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 class RankQueue:
-    """Positions by merge rank; ``pop`` gives the lowest rank, and its leftmost position."""
+    """Positions by merge rank; each bucket is a heap, so that the leftmost position comes first."""
 
     __slots__ = ("buckets", "top", "words")
-    BITS = 10  # ranks of one word of the lower level
+    BITS = 10  # a word of the lower level has 1024 ranks
 
     def __init__(self) -> None:
         self.top, self.words, self.buckets = 0, {}, {}
@@ -49,24 +49,20 @@ class RankQueue:
         else:
             heappush(bucket, position)
 
-    def pop(self) -> tuple[int, int] | None:
-        top = self.top
-        if not top:
+    def clear(self, rank: int) -> None:
+        """Takes an empty bucket's bits away."""
+        del self.buckets[rank]
+        high = rank >> self.BITS
+        self.words[high] &= ~(1 << (rank & 1023))
+        if not self.words[high]:
+            self.top &= ~(1 << high)
+
+    def lowest(self) -> int | None:
+        """The lowest rank, by two find-first-set steps."""
+        if not self.top:
             return None
-        high = (top & -top).bit_length() - 1
-        word = self.words[high]
-        rank = (high << self.BITS) + (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            word &= word - 1
-            if word:
-                self.words[high] = word
-            else:
-                del self.words[high]
-                self.top = top & (top - 1)
-        return rank, position
+        high = (self.top & -self.top).bit_length() - 1
+        return (high << self.BITS) + (self.words[high] & -self.words[high]).bit_length() - 1
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -76,15 +72,25 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     n = len(piece)
     after = list(range(1, n + 1))  # of a token that begins here: where it ends
     before = list(range(-1, n - 1))  # where the token on its left begins
-    paired = [-1] * n  # rank of the pair that begins here, -1 when none
-    queue, get = RankQueue(), ranks.get
-    for i in range(n - 1):
-        rank = get(piece[i : i + 2])
-        if rank is not None:
-            paired[i] = rank
-            queue.push(rank, i)
-    while (entry := queue.pop()) is not None:
-        rank, i = entry
+    get = ranks.get
+    paired = [get(piece[i : i + 2], -1) for i in range(n - 1)]  # rank of the pair that begins here, -1 when none
+    paired.append(-1)
+    queue = RankQueue()
+    push = queue.push
+    for i, rank in enumerate(paired):
+        if rank >= 0:
+            push(rank, i)
+    buckets, words = queue.buckets, queue.words
+    while top := queue.top:
+        # RankQueue.lowest and its bucket's leftmost position, written out: calls are what a short pre-token costs
+        high = (top & -top).bit_length() - 1
+        word = words[high]
+        low = word & -word
+        rank = (high << 10) + low.bit_length() - 1
+        bucket = buckets[rank]
+        i = heappop(bucket)
+        if not bucket:
+            queue.clear(rank)
         if paired[i] != rank:
             continue  # stale
         middle = after[i]
@@ -92,21 +98,16 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         paired[middle] = -1
         if end < n:
             before[end] = i
-            rank = get(piece[i : after[end]])
-            paired[i] = -1 if rank is None else rank
-            if rank is not None:
-                queue.push(rank, i)
+            rank = paired[i] = get(piece[i : after[end]], -1)
+            if rank >= 0:
+                push(rank, i)
         else:
             paired[i] = -1
         left = before[i]
         if left >= 0:
-            rank = get(piece[left:end])
-            # the pair is another one even where its rank is the same
-            if rank is None:
-                paired[left] = -1
-            elif paired[left] != rank:
-                paired[left] = rank
-                queue.push(rank, left)
+            rank = paired[left] = get(piece[left:end], -1)
+            if rank >= 0:
+                push(rank, left)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])
@@ -129,20 +130,27 @@ class ByteBpe:
         self.tokens = {i: t for t, i in ranks.items()}
         pattern = pattern.replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
         self.find = regex.compile(pattern, regex.V1).findall
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> list[int]:
+        return list(map(int, self.decimal(text).split(b","))) if text else []
+
+    def decimal(self, text: str) -> bytes:
+        """The ids in decimal, joined by commas."""
         out, known = [], self.known
         for piece in self.find(text):
             ids = known.get(piece)
             if ids is None:
-                ids = merge(piece.encode(), self.ranks)
+                ids = ",".join(map(str, merge(piece.encode(), self.ranks))).encode()
                 if len(piece) <= 64:
                     if len(known) >= KNOWN:
                         known.clear()
                     known[piece] = ids
-            out += ids
-        return out
+            out.append(ids)
+        return b",".join(out)
+
+    def decoded(self, ids: bytes) -> bytes:
+        return b"".join([self.tokens[int(i)] for i in ids.split(b",")]) if ids else b""
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -157,8 +165,8 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> tuple[bytes, bytes]:
         first = piece[:1]
-        ids = self.bpe.encode(piece if first == "\n" else piece[1:] if first == "\0" else " " + piece)
-        found = self[piece] = (",".join(map(str, ids)).encode(), self.bpe.decode(ids))
+        ids = self.bpe.decimal(piece if first == "\n" else piece[1:] if first == "\0" else " " + piece)
+        found = self[piece] = (ids, self.bpe.decoded(ids))
         return found
 
 
@@ -175,8 +183,8 @@ def digests(cache: _Pieces, text: str) -> tuple[int, str, str]:
     else:
         found = None
     if found is None:
-        ids = cache.bpe.encode(text)
-        joined, decoded = ",".join(map(str, ids)).encode(), cache.bpe.decode(ids)
+        joined = cache.bpe.decimal(text)
+        decoded = cache.bpe.decoded(joined)
     else:
         joined, decoded = b",".join([x[0] for x in found]), b"".join([x[1] for x in found])
     return joined.count(b",") + 1 if joined else 0, hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded).hexdigest()
