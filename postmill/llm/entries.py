@@ -14,10 +14,11 @@ from .golomb import OP9_SQL, op9_golomb_exchange
 from .html_text import op6_text_to_tag
 from .licenses import op3_suffix_automaton
 from .planes import op1_bit_planes
+from .signature_tree import op4_signature_tree
 from .toxicity import op10_classifier_chain
 from .url_lists import OP5_SQL, op5_temporal_lists
 
-_QUERIES = [op1_bit_planes, op2_cutting_stock, op3_suffix_automaton, op5_temporal_lists, op6_text_to_tag, op7_rank_queue_bpe, op8_decision_list, op9_golomb_exchange, op10_classifier_chain]
+_QUERIES = [op1_bit_planes, op2_cutting_stock, op3_suffix_automaton, op4_signature_tree, op5_temporal_lists, op6_text_to_tag, op7_rank_queue_bpe, op8_decision_list, op9_golomb_exchange, op10_classifier_chain]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
