@@ -1 +1 @@
-
+"""Queries, their SQL, and end-to-end stages."""

@@ -1 +1 @@
-
+"""Readers, unions, schemas and sinks."""
