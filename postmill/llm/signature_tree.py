@@ -6,8 +6,9 @@ order puts shingles last that a counting sketch of the whole corpus calls freque
 
 1. Hubs: the least class of a key is compared with each other class of it. That is linear in the keys, and already joins
    large groups of near copies.
+   Large keys whose classes aren't joined by then get a few hubs more, chosen by a hash.
 2. Trees: of keys that still hold several components, the classes form a signature tree: leaves with the bitmap of their
-   shingles (a bit or two for each), nodes with the OR of their bitmaps and the range of their sizes and components. A
+   shingles (some bits for each), nodes with the OR of their bitmaps and the range of their sizes and components. A
    dual traversal drops node pairs whose sizes, components or greatest possible overlap rule out a new link.
    A key of more than ``BLOCK`` classes is dealt in blocks; every two blocks meet in a task of their own.
 
@@ -32,6 +33,10 @@ from .work import columns, work_dir, written
 
 WIDTH, SLOTS, SLICE = 5, 1 << 20, 1 << 12
 BLOCK, LEAF, FANOUT = 8192, 8, 4
+#: Large keys are thinned out in so many rounds, against so many classes of each.
+LARGE, ROUNDS, HUBS = 32, 2, 3
+#: Least keys that a class remembers, so that most pairs are asked for once.
+LISTED_KEYS = 16
 #: Rows up to which a list of documents is broadcast (16 bytes each); beyond that it is joined by a shuffle.
 LISTED = 2_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -39,7 +44,7 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -75,8 +80,8 @@ def class_of(found: np.ndarray) -> int:
 
 
 def signature(found: np.ndarray) -> bytes:
-    """A bitmap of one to two bits for each shingle, 64 at least."""
-    bits = max(64, 1 << int(len(found)).bit_length())
+    """A bitmap of four to eight bits for each shingle, 64 at least: wide enough to tell 0.7 from 0.8."""
+    bits = max(64, 4 << int(len(found)).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(found >> np.uint64(20)).astype(np.int64) & (bits - 1)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -96,10 +101,10 @@ def reaches(overlap: int, a: int, b: int, percent: int = 80) -> bool:
 
 
 class Leaf:
-    __slots__ = ("bits", "bitmap", "comp", "fid", "n", "slack")
+    __slots__ = ("bits", "bitmap", "comp", "fid", "keys", "n", "slack")
 
-    def __init__(self, fid: int, n: int, comp: int, sig: bytes) -> None:
-        self.fid, self.n, self.comp = fid, n, comp
+    def __init__(self, fid: int, n: int, comp: int, sig: bytes, keys: list[int] | None = None) -> None:
+        self.fid, self.n, self.comp, self.keys = fid, n, comp, frozenset(keys or ())
         self.bitmap, self.bits = int.from_bytes(sig, "little"), 8 * len(sig)
         self.slack = n - self.bitmap.bit_count()
 
@@ -364,40 +369,59 @@ def tree_pairs(shared: DataFrame, labels: DataFrame, signs: DataFrame, home: str
     groups = named.groupBy("key").agg(F.count(F.lit(1)).alias("n_classes"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), *marks).filter("c0 <> c1")
     # keys with the same classes ask the same question
     groups = groups.groupBy("n_classes", "mark1", "mark2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n_classes") / BLOCK).cast("int").alias("blocks"))
-    rows = named.join(groups, "key").join(signs.select("fid", "n", "sig"), "fid")
+    listed = named.join(groups.select("key"), "key").groupBy("fid").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LISTED_KEYS).alias("keys"))
+    rows = named.join(groups, "key").join(signs.select("fid", "n", "sig"), "fid").join(listed, "fid")
     own = F.pmod(F.xxhash64("fid"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), "own", "fid", "n", "comp", "sig")
+    rows = rows.select("key", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), "own", "fid", "n", "comp", "sig", "keys")
 
     def traverse(batches):
         now, held, names = None, [], ["a", "b"]
 
         def out():
-            (_, i, j) = now
+            key, i, j = now
             if i == j:
                 tree = build([x for _, x in held])
                 found = dual(tree, tree, percent)
             else:
                 left, right = build([x for o, x in held if o == i]), build([x for o, x in held if o == j])
                 found = dual(left, right, percent) if left and right else ()
-            part = list(found)
+            keys = {x.fid: x.keys for _, x in held}
+            # of several keys that both list, a pair is asked for at the least only
+            part = [(a, b) for a, b in found if min(keys[a] & keys[b], default=key) >= key]
             for k in range(0, len(part), 65536):
                 a, b = zip(*part[k : k + 65536], strict=True)
                 yield _batch(names, [a, b])
 
         for batch in batches:
-            for key, i, j, own, fid, n, comp, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, i, j, own, fid, n, comp, sig, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, i, j) != now:
                     if held:
                         yield from out()
                     now, held = (key, i, j), []
-                held.append((own, Leaf(fid, n, comp, sig)))
+                held.append((own, Leaf(fid, n, comp, sig, keys)))
         if held:
             yield from out()
 
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(traverse, "a long, b long").distinct()
 
 
+def more_hubs(shared: DataFrame, labels: DataFrame, round_: int) -> DataFrame:
+    """Pairs (a, b) for keys of more than ``LARGE`` classes that hold several components.
+
+    Classes outside a key's commonest component are compared with ``HUBS`` of its classes, chosen by a hash: a large
+    group of near copies, in which no single class is like all others, then shrinks to a few components before any
+    tree is walked. The pairs are linear in the keys' classes.
+    """
+    named = shared.select("key", "fid").join(labels, "fid", "left").select("key", "fid", F.coalesce("comp", "fid").alias("comp"))
+    chosen = F.array(*[F.min(F.struct(F.xxhash64(F.col("fid"), F.lit(HUBS * round_ + k)).alias("h"), F.col("fid")))["fid"] for k in range(HUBS)])
+    parts = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n_classes"), chosen.alias("hubs"))
+    groups = parts.groupBy("key").agg(F.sum("n_classes").alias("total"), F.count(F.lit(1)).alias("n_comps"), F.max_by(F.struct("comp", "hubs"), F.struct("n_classes", "comp")).alias("main"))
+    groups = groups.filter(f"n_comps > 1 and total > {LARGE}").select(F.col("key").alias("of_key"), "main")
+    outside = named.join(groups, (F.col("key") == F.col("of_key")) & (F.col("comp") != F.col("main.comp"))).select("fid", "main.hubs").distinct()
+    return outside.select("fid", F.explode("hubs").alias("hub")).select(F.least("fid", "hub").alias("a"), F.greatest("fid", "hub").alias("b")).distinct()
+
+
 def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     spark = docs.sparkSession
@@ -413,6 +437,12 @@ def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     hubs = shared.filter(ratio).select(F.col("hub").alias("a"), F.col("fid").alias("b")).distinct()
     links = verified(docs, bounded(hubs, signs, percent), signs, f"{home}/hubs", percent)
     labels = components(links, f"{home}/hub-labels")
+    for k in range(ROUNDS):
+        pairs = written(more_hubs(shared, labels, k), f"{home}/hubs-{k}-pairs")
+        if pairs.isEmpty():
+            break
+        links = links.unionByName(verified(docs, bounded(pairs, signs, percent), signs, f"{home}/hubs-{k}", percent))
+        labels = components(links, f"{home}/hub-labels-{k}")
     more = verified(docs, tree_pairs(shared, labels, signs, f"{home}/trees", percent), signs, f"{home}/tree-links", percent)
     labels = components(links.unionByName(more), f"{home}/all-labels")
 
