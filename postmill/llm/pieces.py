@@ -12,8 +12,8 @@ from collections.abc import Callable, Iterable
 import numpy as np
 
 #: Bounds of a worker's cache, in pieces and in characters; beyond either it starts afresh.
-CACHE_PIECES = 1_000_000
-CACHE_CHARS = 24_000_000
+CACHE_PIECES = 400_000
+CACHE_CHARS = 10_000_000
 
 
 class _Index(dict):

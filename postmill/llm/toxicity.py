@@ -153,8 +153,10 @@ def without_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> Data
 
     def run(batches):
         for batch in batches:
-            keep = [chain.score(t)[-1] < threshold for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for k in range(0, batch.num_rows, 1024):  # few texts as Python objects at a time
+                part = batch.slice(k, 1024)
+                keep = [chain.score(t)[-1] < threshold for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
