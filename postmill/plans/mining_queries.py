@@ -27,7 +27,7 @@ x AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(*) FROM documents))::DOUB
 n AS (SELECT doc_id, sqrt(sum(raw * raw)) AS length FROM x GROUP BY doc_id)
 SELECT doc_id, rank, term, round(raw / length, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(raw, 9) DESC, term) AS rank FROM x) JOIN n USING (doc_id) WHERE rank <= 15""")
 def tfidf_top_terms(spark, sf):
-    return skills.tfidf_top(_ascii(spark, sf), "doc_id", "text", 15, 20_000, stop_words=STOP).withColumn("weight", F.round("weight", 6))
+    return skills.tfidf_top(_ascii(spark, sf), "doc_id", "text", 15, stop_words=STOP).withColumn("weight", F.round("weight", 6))
 
 
 @query(rf"""
