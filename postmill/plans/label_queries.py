@@ -110,7 +110,7 @@ def false_negative_mask(spark, sf):
 def classifier_scores(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     rows = docs.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
-    fitted = model.train(rows, "text", "quality", "doc_id", mode="fast", iterations=20)
+    fitted = model.train(rows, "text", "quality", "doc_id", mode="precise", iterations=1000)
     return fitted.score(docs, "text").select("doc_id", F.round("p_rnd", 6).alias("p_rnd"))
 
 
