@@ -4,7 +4,8 @@ A page is read event by event. Its text becomes lines, one for each block, with
 text-to-tag ratio is smoothed over its neighbours with a Gaussian window, and a split of the smoothed ratios into two
 clusters tells text-like lines from others. Lines belong to regions (the nearest sectioning element or container). The
 regions of articles and of the main element are content where they hold a text-like line; on pages that have neither,
-the regions are whose text is mostly in text-like lines and not in links. Menus, headers, footers, asides, forms,
+the smallest container is that holds the regions whose text is mostly in text-like lines and not in links, without its
+regions whose text is mostly in links. Menus, headers, footers, asides, forms,
 notices, adverts, comments, scripts and styles are no content anywhere. A content region's lines all stay, short ones
 too.
 
@@ -48,6 +49,7 @@ class PageReader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.regions: list[int] = [0]  # of a region: number of the article it lies in, 0 for none
+        self.parents: list[int] = [0]  # of a region: the region around it
         self.articles = 0
         self.open: list[tuple[str, bool, int]] = []  # tag, whether it is boilerplate, region
         self.parts: list[str] = []
@@ -94,6 +96,7 @@ class PageReader(HTMLParser):
             self._flush()
         region = self._region()
         if tag in REGIONS:
+            self.parents.append(region)
             if tag in ("article", "main"):
                 self.articles += 1
                 self.regions.append(self.articles if tag == "article" or not self.regions[region] else self.regions[region])
@@ -142,6 +145,20 @@ def text_like(lines: list[Line], radius: int = 2, sigma: float = 1.0) -> np.ndar
     return smooth > (low + high) / 2
 
 
+def within(parents: list[int], held: set[int]) -> set[int]:
+    """The regions of the smallest container that holds the given ones; of one alone, the container around it."""
+    below = [int(r in held) for r in range(len(parents))]
+    for r in range(len(parents) - 1, 0, -1):  # parents have smaller numbers
+        below[parents[r]] += below[r]
+    top = max(r for r, n in enumerate(below) if n == len(held))
+    if len(held) == 1:
+        top = parents[top]
+    inside = [False] * len(parents)
+    for r in range(len(parents)):
+        inside[r] = r == top or (r > 0 and inside[parents[r]])
+    return {r for r, x in enumerate(inside) if x}
+
+
 def content_lines(reader: PageReader) -> list[str]:
     lines = reader.finished()
     if not lines:
@@ -159,7 +176,9 @@ def content_lines(reader: PageReader) -> list[str]:
             n[0] += len(x.text)
             n[1] += len(x.text) * bool(t)
             n[2] += x.linked
-        chosen = {r for r, (n, in_text, linked) in size.items() if 2 * in_text >= n and 2 * linked < n} or {max(size, key=lambda r: size[r][0])}
+        menus = {r for r, (n, _, linked) in size.items() if 2 * linked >= n}
+        held = {r for r, (n, in_text, _) in size.items() if 2 * in_text >= n} - menus or {max(size, key=lambda r: size[r][0])}
+        chosen = within(reader.parents, held) - (menus - held)
     return [x.text for x in lines if x.region in chosen]
 
 
