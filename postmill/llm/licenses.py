@@ -3,7 +3,7 @@
 The automaton holds every template's words. A text streams through it: at each word it knows the longest run of words
 that ends there and stands in some template (the matching statistics). Runs that can't be lengthened, of ``SHORTEST``
 words at least, are chained in the order of text and template; a chain is a span, and its worth the share of the template
-that it covers. Phrases are marked on the automaton's states, and so are found wherever they end.
+that it covers. A label that names a version is given only where the span holds the version's words. Phrases are marked on the automaton's states, and so are found wherever they end.
 
 Cases: a null or empty text has no words, no labels and score 0; texts of any length stream through whole; repeated rows
 are scanned each for itself; an empty table gives no rows; further columns are ignored.
@@ -25,6 +25,7 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     ],
+    "apache-1.1": ["Licensed under the Apache License, Version 1.1"],
     "mit": [
         "Licensed under the MIT License",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
@@ -37,14 +38,20 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "gpl-2.0": [
+        "This work is licensed under the GNU General Public License, version 2",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
     ],
     "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
-    "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0"],
-    "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "cc-by-4.0": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
+    "mpl-1.1": ["The contents of this file are subject to the Mozilla Public License Version 1.1"],
 }
+#: Words of which a span must hold one run whole before it gives a label that names a version.
+VERSIONS = {"apache-2.0": ["Version 2.0", "LICENSE-2.0"], "gpl-3.0": ["version 3"], "gpl-2.0": ["version 2"], "apache-1.1": ["Version 1.1"], "mpl-1.1": ["Version 1.1"], "mpl-2.0": ["v. 2.0", "version 2.0", "MPL/2.0"]}
+for _kind, _long in {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}.items():
+    for _version, _scope in {"1.0": "Generic", "2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}.items():
+        _name = f"cc-{_kind.lower()}-{_version}"
+        TEMPLATES[_name] = [f"Licensed under CC {_kind} {_version}", f"This work is licensed under a Creative Commons {_long} {_version} {_scope} License"]
+        VERSIONS[_name] = [f"{_kind} {_version}", f"{_long} {_version}"]
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -53,6 +60,17 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_KEEP).split()
 
 
+_RUNS = {name: [b" %b " % b" ".join(words_of(run)) for run in runs] for name, runs in VERSIONS.items()}
+
+
+def tells_version(name: str, words: list[bytes]) -> bool:
+    """Whether a span's words hold what its label says of the version; labels without a version need nothing."""
+    if name not in _RUNS:
+        return True
+    text = b" %b " % b" ".join(words)
+    return any(run in text for run in _RUNS[name])
+
+
 class Automaton:
     """Suffix automaton of several word sequences; state 0 is the root."""
 
@@ -178,7 +196,7 @@ RESULT = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 def scan_text(automaton: Automaton, text: str | None) -> tuple:
     words = words_of(text)
     runs, found = automaton.statistics(words)
-    spans = [x for x in chains(automaton, runs) if x[3] >= ENOUGH] if runs else []
+    spans = [x for x in chains(automaton, runs) if x[3] >= ENOUGH and tells_version(x[0], words[x[1] : x[2]])] if runs else []
     starts = [s for s, _ in found]
     base = {label for _, label in found}
     labels = ",".join(sorted(base | {x[0] for x in spans}))
