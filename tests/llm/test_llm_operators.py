@@ -272,6 +272,41 @@ def test_bpe_is_exact(multi, text):
     assert own.decode(own.encode(text)) == text.encode()
 
 
+def naive_merge(piece, ranks):
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not found:
+            return [ranks[x] for x in parts]
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("abc", min_size=2, max_size=5), unique=True, max_size=14), st.lists(st.text("abc", min_size=1, max_size=14), min_size=1, max_size=6))
+def test_merges_with_any_ranks(tokens, texts):
+    """Ranks in no order of length: merges that make pairs of lower ranks, overlaps and neighbours."""
+    ranks = {bytes([b]): b for b in range(256)} | {t.encode(): 256 + 37 * i for i, t in enumerate(tokens)}
+    merges = bpe.Merges(ranks)
+    pieces_ = [t.encode() for t in texts]
+    expected = [naive_merge(p, ranks) for p in pieces_]
+    assert merges(pieces_) == expected
+    assert [bpe.merge(p, ranks) for p in pieces_] == expected
+
+
+def test_caches_of_two_generations(multi, monkeypatch):
+    ranks, library = multi
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 20)
+    monkeypatch.setattr(bpe, "CACHE_TOKENS", 20)
+    monkeypatch.setattr(bpe, "GROUP", 50)
+    own, rng = bpe.ByteBpe(ranks, public_tokenizers.PATTERN), random.Random(6)
+    for _ in range(40):
+        texts = [" ".join(rng.choice("ab") * rng.randint(1, 90) for _ in range(rng.randint(0, 9))) + rng.choice(["", " ", "\n\nx"]) for _ in range(4)]
+        for text, found in zip(texts, own.entries(texts), strict=True):
+            assert b",".join([x[0] for x in found]).decode() == ",".join(map(str, library.encode_ordinary(text)))
+            assert b"".join([x[1] for x in found]) == text.encode()
+
+
 def test_op7(docs, empty, multi):
     ranks, library = multi
     expected = []
