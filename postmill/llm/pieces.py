@@ -2,7 +2,8 @@
 
 A pre-tokeniser of the GPT-2 kind never joins a non-space character with a space that follows it, so a text in which
 no two white-space characters touch, and which neither begins nor ends with one, may be cut before each of them: the
-pieces' ids in a row are the text's ids. All other texts are encoded in one call.
+pieces' ids in a row are the text's ids. All other texts are encoded in one call, and so are those that hold the string
+of an added token, which the library finds wherever it stands.
 """
 
 from __future__ import annotations
@@ -33,11 +34,11 @@ class PieceEncoder:
     """Ids of texts, by ``encode(list of strings) -> list of id lists`` on distinct pieces.
 
     ``words``: the tokenizer drops white space and never joins over it, so that pieces are plain words; otherwise each
-    piece keeps the one white-space character before it.
+    piece keeps the one white-space character before it. ``added``: the strings of the tokenizer's added tokens.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], words: bool = False) -> None:
-        self.encode, self.words = encode, words
+    def __init__(self, encode: Callable[[list[str]], list], words: bool = False, added: Iterable[str] = ()) -> None:
+        self.encode, self.words, self.added = encode, words, tuple(added)
         self._reset()
 
     def _reset(self) -> None:
@@ -46,6 +47,8 @@ class PieceEncoder:
         self.pool = np.zeros(4096, np.uint32)
 
     def _cut(self, text: str) -> list[str] | None:
+        if any(x in text for x in self.added):
+            return None
         parts = text.split()
         if self.words:
             return None if any(c in text for c in "\x1c\x1d\x1e\x1f") else parts
@@ -126,12 +129,12 @@ def tokenizer_encoder(path: str, words: bool = False) -> PieceEncoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
         def encode(texts: list[str]) -> list:
             return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-        _ENCODERS[path, words] = PieceEncoder(encode, words)
+        _ENCODERS[path, words] = PieceEncoder(encode, words, added)
     return _ENCODERS[path, words]
 
 

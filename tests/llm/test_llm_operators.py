@@ -27,6 +27,7 @@ LONG = " ".join(f"w{i % 977}" for i in range(30_000))
 TEXTS = [
     (0, BASE), (1, BASE.upper()), (2, BASE + " twentyone"), (3, None), (4, ""), (5, " \n\t "), (6, "a b c"), (7, "A B C"), (8, LONG), (9, LONG + " end"),
     (10, "x  y\n\nz \x1c <|endoftext|> it's 日本 é́"), (11, "Licensed under CC BY-NC 4.0.\nAll rights reserved."), (12, "x" * 5000), (13, BASE), (13, BASE), (None, BASE), (14, "b\nb\nb\nc"),
+    (15, "one <|endoftext|> two"), (16, "a<|startoftext|>b\n<|endoftext|>"), (17, "<|ENDOFTEXT|> <|endoftext|x"), (-(2**63), "least id"),
 ]
 
 
@@ -43,7 +44,6 @@ def empty(docs):
 
 def tokenizer(name):
     out = Tokenizer.from_file(public_tokenizers.path(name))
-    out.encode_special_tokens = True
     return lambda t: out.encode(t or "", add_special_tokens=False).ids
 
 
@@ -52,7 +52,7 @@ def crc(ids):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(" \n\t\r\x1c\x85　ab'st.,é日́Σ1🎉", max_size=30))
+@given(st.lists(st.one_of(st.text(" \n\t\r\x1c\x85　ab'st.,é日́Σ1🎉", max_size=30), st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|endoftext", "|>"])), max_size=4).map("".join))
 def test_pieces_are_the_whole_text(text):
     for name, words in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
         path = public_tokenizers.path(name)
@@ -63,7 +63,7 @@ def test_pieces_are_the_whole_text(text):
 @pytest.mark.parametrize("block", [1, 7, 64])
 def test_plane_file_round_trip(kind, block):
     rng = np.random.default_rng(3)
-    rows = [(k if k != 2 else None, rng.integers(0, 2**rng.integers(1, 32), rng.integers(0, 40)).astype(np.uint32)) for k in range(9)]
+    rows = [({2: None, 3: -(2**63)}.get(k, k), rng.integers(0, 2**rng.integers(1, 32), rng.integers(0, 40)).astype(np.uint32)) for k in range(9)]
     sink = io.BytesIO()
     writer = planes.PlaneWriter(sink, block, kind)
     for doc_id, ids in rows:
@@ -86,9 +86,10 @@ def test_op1(spark, docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = [r for r in planes.read_planes(planes.write_planes(docs, path, out, block=1000), out).orderBy("start").collect()]
     encode = tokenizer("byte_bpe_50k.json")
-    left = sorted(((i if i is not None else -1, crc([*encode(t), 2]), len(encode(t)) + 1) for i, t in TEXTS))
-    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["ids_crc32"], r["n_tokens"]) for r in rows) == left
-    assert [r["doc_id"] for r in rows] == sorted((r["doc_id"] for r in rows), key=lambda x: -1 if x is None else x)
+    left = sorted(((i, crc([*encode(t), 2]), len(encode(t)) + 1) for i, t in TEXTS), key=str)
+    assert sorted(((r["doc_id"], r["ids_crc32"], r["n_tokens"]) for r in rows), key=str) == left
+    assert [r["doc_id"] for r in rows] == sorted((r["doc_id"] for r in rows), key=lambda x: float("-inf") if x is None else x)
+    assert rows[0]["doc_id"] is None and rows[1]["doc_id"] == -(2**63)
     assert [r["start"] for r in rows] == list(np.cumsum([0] + [r["n_tokens"] for r in rows])[:-1])
     out = work_dir(spark, "test")
     assert planes.read_planes(planes.write_planes(empty, path, out), out).count() == 0
@@ -116,6 +117,17 @@ def test_op2(docs, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     packed = cutting_stock.pack(docs.filter("doc_id is not null and doc_id <> 13"), path)
     encode, rows = tokenizer("word_bpe_49k.json"), [r.asDict() for r in packed.collect()]
+    # of repeated rows and rows without a doc_id too, each id lies in one piece
+    every, wanted = defaultdict(int), defaultdict(int)
+    for r in cutting_stock.pack(docs, path).collect():
+        ids = [*encode(dict(TEXTS)[r["doc_id"]]), 1]
+        assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == crc(ids[r["start"] : r["start"] + r["length"]])
+        for k in range(r["start"], r["start"] + r["length"]):
+            every[r["doc_id"], k] += 1
+    for i, t in TEXTS:
+        for k in range(len(encode(t)) + 1):
+            wanted[i, k] += 1
+    assert every == wanted
     for i, t in TEXTS:
         if i in (None, 13):
             continue
