@@ -28,7 +28,7 @@ from .work import columns, filesystem, work_dir, written
 MAGIC = b"PMPLANE1"
 FOOTER = struct.Struct("<QQQQ8s")  # document index: offset, bytes; chunk index: offset, bytes; magic
 MANIFEST = "shard long, path string, n_docs long, n_tokens long, n_bytes long"
-READ = "shard long, doc_id long, local_start long, n_tokens long, ids_crc32 long"
+READ = "doc_id long, start long, n_tokens long, ids_crc32 long, shard long"
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -74,7 +74,7 @@ class PlaneWriter:
         return len(data)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((-(2**63) if doc_id is None else doc_id, len(ids)))
+        self.docs.append((0, ~len(ids)) if doc_id is None else (doc_id, len(ids)))  # a count below zero: no doc_id
         self.held.append(ids)
         self.n_held += len(ids)
         if self.n_held >= self.block:
@@ -144,13 +144,15 @@ class PlaneReader:
         """(doc_id, first id's place in the file, its ids in parts), one chunk in memory at a time and the parts."""
         held, chunk, start = np.zeros(0, "<u4"), 0, 0
         for doc_id, n in self.docs.tolist():
+            if n < 0:
+                doc_id, n = None, ~n
             parts, need = [], n
             while need:
                 if not len(held):
                     held, chunk = self.chunk(chunk), chunk + 1
                 parts.append(held[:need])
                 held, need = held[need:], need - len(parts[-1])
-            yield None if doc_id == -(2**63) else doc_id, start, parts
+            yield doc_id, start, parts
             start += n
 
 
@@ -194,14 +196,14 @@ def read_planes(manifest: DataFrame, out: str) -> DataFrame:
     def read(batches):
         fs, _ = filesystem(out)
         for batch in batches:
-            for shard, path in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
+            for shard, path, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with fs.open_input_file(path) as source:
                     rows: list[list] = [[], [], [], [], []]
                     for doc_id, start, parts in PlaneReader(source).documents():
                         crc = 0
                         for part in parts:
                             crc = zlib.crc32(np.ascontiguousarray(part, "<u4"), crc)
-                        for column, x in zip(rows, (shard, doc_id, start, sum(map(len, parts)), crc), strict=True):
+                        for column, x in zip(rows, (doc_id, before + start, sum(map(len, parts)), crc, shard), strict=True):
                             column.append(x)
                         if len(rows[0]) == 8192:
                             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=NAMES)
@@ -209,11 +211,9 @@ def read_planes(manifest: DataFrame, out: str) -> DataFrame:
                     if rows[0]:
                         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=NAMES)
 
-    n = manifest.count()
-    found = manifest.select("shard", "path").repartition(max(1, n)).mapInArrow(read, READ)
-    # a row for each file: small however large the corpus is
-    before = manifest.select("shard", (F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")).alias("before"))
-    return found.join(before, "shard").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", "shard")
+    # a row for each file, however many documents it holds; each task gets one file and the count of ids before it
+    before = (F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")).alias("before")
+    return manifest.select("shard", "path", before).repartition(max(1, manifest.count())).mapInArrow(read, READ)
 
 
 NAMES = [x.split()[0] for x in READ.split(", ")]
