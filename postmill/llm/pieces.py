@@ -12,9 +12,11 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-#: Bounds of a worker's cache, in pieces and in characters; beyond either it starts afresh.
-CACHE_PIECES = 400_000
+#: Bounds of a worker's cache, in pieces and in characters, for each of two generations.
+CACHE_PIECES = 300_000
 CACHE_CHARS = 10_000_000
+#: New pieces that are encoded as one text, and a character that parts them where the ids alone don't.
+TOGETHER, MARK = 100, "\x01"
 
 
 class _Index(dict):
@@ -37,8 +39,10 @@ class PieceEncoder:
     piece keeps the one white-space character before it. ``added``: the strings of the tokenizer's added tokens.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], words: bool = False, added: Iterable[str] = ()) -> None:
-        self.encode, self.words, self.added = encode, words, tuple(added)
+    def __init__(self, encode: Callable[[list[str]], list], words: bool = False, added: Iterable[str] = (), first: np.ndarray | None = None) -> None:
+        self.encode, self.words, self.added, self.first = encode, words, tuple(added), first
+        self.mark = self.encode([MARK])[0]
+        self.elder: tuple[dict, np.ndarray, np.ndarray, np.ndarray] = ({}, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
         self._reset()
 
     def _reset(self) -> None:
@@ -67,18 +71,58 @@ class PieceEncoder:
         new = self.index.new
         if not new:
             return
-        found = self.encode([self._spelled(p) for p in new])
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        first, total = len(self.index) - len(new), int(lengths.sum())
+        index, starts, lengths, pool = self.elder
+        known = np.fromiter((index.get(p, -1) for p in new), np.int64, len(new))
+        unknown = known < 0
+        of_new = np.empty(len(new), np.int64)
+        of_new[~unknown] = lengths[known[~unknown]]
+        of_new[unknown], flat = self._encoded([p for p, u in zip(new, unknown.tolist(), strict=True) if u])
+        ids = np.empty(int(of_new.sum()), np.uint32)
+        held = np.repeat(unknown, of_new)
+        ids[held], ids[~held] = flat, pool[_ranges(starts[known[~unknown]], of_new[~unknown])]
+        first, total = len(self.index) - len(new), len(ids)
         self.starts, self.lengths = (_grown(a, first + len(new)) for a in (self.starts, self.lengths))
         self.pool = _grown(self.pool, self.used + total)
-        self.lengths[first : first + len(new)] = lengths
-        self.starts[first : first + len(new)] = self.used + np.cumsum(lengths) - lengths
-        self.pool[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
+        self.lengths[first : first + len(new)] = of_new
+        self.starts[first : first + len(new)] = self.used + np.cumsum(of_new) - of_new
+        self.pool[self.used : self.used + total] = ids
         self.used += total
         self.chars += sum(map(len, new))
         self.index.new = []
 
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces' counts of ids, and their ids one after another."""
+        counts: list[np.ndarray] = []
+        flat: list[np.ndarray] = []
+        for k in range(0, len(pieces), TOGETHER):
+            group = pieces[k : k + TOGETHER]
+            found = self._together(group)
+            if found is None:
+                each = self.encode([self._spelled(p) for p in group])
+                found = np.fromiter(map(len, each), np.int64, len(each)), np.array([i for ids in each for i in ids], np.uint32)
+            counts.append(found[0])
+            flat.append(found[1])
+        return (np.concatenate(counts), np.concatenate(flat)) if counts else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
+
+    def _together(self, group: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The group encoded as one text; None where its pieces' ids can't be told apart."""
+        if self.words:
+            if len(self.mark) != 1:
+                return None
+            ids = np.array(self.encode([f" {MARK} ".join(group)])[0], np.uint32)
+            marks = ids == self.mark[0]
+            ends = np.append(np.flatnonzero(marks), len(ids))
+            if len(ends) != len(group):
+                return None
+            return np.diff(ends, prepend=-1) - 1, ids[~marks]
+        if self.first is None or any(p[:1] == "\0" for p in group[1:]):
+            return None
+        ids = np.array(self.encode(["".join(map(self._spelled, group))])[0], np.uint32)
+        begins = self.first[ids]
+        begins[:1] = True
+        starts = np.flatnonzero(begins)
+        return (np.diff(starts, append=len(ids)), ids) if len(starts) == len(group) else None
+
     def __call__(self, texts: Iterable[str]) -> list[np.ndarray]:
         """One uint32 array for each text."""
         numbers: list[np.ndarray | None] = []
@@ -96,17 +140,18 @@ class PieceEncoder:
         others = iter(self.encode(whole) if whole else [])
         out = [np.array(next(others), np.uint32) if n is None else self._gather(n) for n in numbers]
         if len(self.index) > CACHE_PIECES or self.chars > CACHE_CHARS:
+            self.elder = (dict(self.index), self.starts, self.lengths, self.pool)
             self._reset()
         return out
 
     def _gather(self, numbers: np.ndarray) -> np.ndarray:
-        lengths = self.lengths[numbers]
-        ends = np.cumsum(lengths)
-        if not len(ends):
-            return np.zeros(0, np.uint32)
-        at = np.repeat(self.starts[numbers] - ends + lengths, lengths)
-        at += np.arange(len(at))
-        return self.pool[at]
+        return self.pool[_ranges(self.starts[numbers], self.lengths[numbers])]
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each range, one range after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 def _grown(array: np.ndarray, need: int) -> np.ndarray:
@@ -130,11 +175,15 @@ def tokenizer_encoder(path: str, words: bool = False) -> PieceEncoder:
 
         tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        # tokens that begin with a space or a line end, in the byte-level spelling: a piece begins there
+        spelled = tokenizer.get_vocab()
+        first = np.zeros(max(spelled.values()) + 1, bool)
+        first[[i for token, i in spelled.items() if token[:1] in ("\u0120", "\u010a")]] = True
 
         def encode(texts: list[str]) -> list:
             return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-        _ENCODERS[path, words] = PieceEncoder(encode, words, added)
+        _ENCODERS[path, words] = PieceEncoder(encode, words, added, first)
     return _ENCODERS[path, words]
 
 
