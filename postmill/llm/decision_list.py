@@ -7,7 +7,7 @@ learner sees at most ``FIT_ROWS`` labelled rows, chosen by a hash of their doc_i
 
 Cases: a null or empty text has no words, so the base rule rejects it; a text of any length is read whole; repeated
 rows are judged each for itself; without labels, or with one class only, the list is empty and the base rule alone
-decides; an empty table gives no rows; further columns are ignored or, on request, carried.
+decides; an empty table gives no rows; further columns are ignored, or stay with the rows that ``passing`` returns.
 """
 
 from __future__ import annotations
@@ -189,34 +189,51 @@ def list_expression(rules: list[list[Condition]], of: Callable[[str], Column], d
     return verdict
 
 
+def chosen_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality) of some ``FIT_ROWS`` labelled rows, by a hash of their doc_id."""
+    labels = columns(labels, "doc_id", "quality").dropna().distinct()
+    share = min(1.0, FIT_ROWS / max(1, labels.count()))
+    return labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(share * 1_000_003))
+
+
 def fit(statistics: DataFrame, labels: DataFrame) -> list[list[Condition]]:
     """Learns from (doc_id, statistics) and (doc_id, quality); quality 0 is what is to be rejected.
 
     Rows that the base rule rejects already teach nothing and are left out.
     """
-    labels = columns(labels, "doc_id", "quality").dropna().distinct()
-    n = labels.count()
-    share = min(1.0, FIT_ROWS / max(1, n))
-    chosen = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(share * 1_000_003))
     open_rows = statistics.filter(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    joined = open_rows.join(chosen, "doc_id").select("doc_id", *RATES, "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(FIT_ROWS)
+    joined = open_rows.join(chosen_labels(labels), "doc_id").select("doc_id", *RATES, "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(FIT_ROWS)
     rows = joined.collect()
     x = np.array([[r[c] or 0.0 for c in RATES] for r in rows], float).reshape(len(rows), len(RATES))
     return learn_list(x, np.array([r["quality"] == 0 for r in rows], bool), list(RATES))
 
 
+def verdict(of: Callable[[str], Column], rules: list[list[Condition]]) -> Column:
+    """Whether a row is kept, from its statistics."""
+    return ~base_failed(of("n_words"), of("n_repeat_words")) & list_expression(rules, of)
+
+
 def with_verdict(statistics: DataFrame, rules: list[list[Condition]]) -> DataFrame:
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    return statistics.withColumn("base_failed", failed).withColumn("kept", ~failed & list_expression(rules, F.col))
+    return statistics.withColumn("base_failed", failed).withColumn("kept", verdict(F.col, rules))
 
 
-def statistics_table(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """The written statistics of every row; ``carry``: with the row's columns in a struct named ``row``."""
-    shown = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
-    rows = docs.select(docs["doc_id"], text_statistics(docs["text"]).alias("s"), *shown).select("doc_id", "s.*", *(["row"] if carry else []))
+def statistics_table(docs: DataFrame) -> DataFrame:
+    """The written statistics of every row."""
+    rows = docs.select(docs["doc_id"], text_statistics(docs["text"]).alias("s")).select("doc_id", "s.*")
     return written(rows, work_dir(docs.sparkSession, "quality"))
 
 
+def passing(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, whole, that the base rule and the learned list keep.
+
+    Statistics are written for the labelled sample alone; all rows are judged in one pass that copies no text.
+    """
+    asked = chosen_labels(labels).select("doc_id").distinct()  # some FIT_ROWS numbers
+    rules = fit(statistics_table(columns(docs, "doc_id", "text").join(F.broadcast(asked), "doc_id")), labels)
+    return docs.filter(let(text_statistics(docs["text"]), lambda s: verdict(lambda c: s[c], rules)))
+
+
 def op8_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     statistics = statistics_table(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     rules = fit(statistics, spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -11,7 +11,8 @@ costs its shuffle. A text whose fingerprint isn't in its partition's messages (a
 the second reading) counts as a suspect, so the result does not hang on how rows are dealt.
 
 Cases: null counts as the empty text; of repeated rows with one doc_id one stays; rows without a doc_id stay only when
-their group has none with one; an empty table gives no rows; further columns are ignored or, on request, carried.
+their group has none with one; an empty table gives no rows; further columns are ignored, or
+stay with the rows that ``once_each`` returns.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .work import delete, filesystem, work_dir, written
+from .pieces import text_groups
+from .work import delete, filesystem, rows_left, work_dir, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TABLE = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -107,24 +108,35 @@ def _source(partition: int, round_: int) -> int:
     return (partition << 20) | round_
 
 
-def exact_duplicates(docs: DataFrame, carry: bool = False, owners: int | None = None) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
+def exact_duplicates(docs: DataFrame, owners: int | None = None) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
+    return _decided(docs, work_dir(docs.sparkSession, "golomb"), owners).drop("text_key")
 
-    ``carry``: the columns of ``docs`` stay, in a struct named ``row``.
-    """
+
+def once_each(docs: DataFrame, owners: int | None = None) -> DataFrame:
+    """The rows of ``docs``, whole, that stay; of repeated rows (same doc_id and text) any one."""
+    home = work_dir(docs.sparkSession, "golomb")
+    several = _decided(docs, home, owners).filter("group_size > 1").select("doc_id", "text_key", "kept")
+    out = rows_left(docs, several, f"{home}/left")
+    for done in ("rows", "groups"):
+        delete(docs.sparkSession, f"{home}/{done}")
+    return out
+
+
+def _decided(docs: DataFrame, home: str, owners: int | None) -> DataFrame:
+    """The fate of each row, with a hash of its text as it stands (text_key)."""
     spark = docs.sparkSession
-    home = work_dir(spark, "golomb")
     n_rows = docs.count()
     bits = min(62, max(20, n_rows.bit_length() + 12))
     owners = owners or max(16, -(-n_rows // OWNED))
-    read = docs.select("doc_id", "text")
+    read = docs.select(docs["doc_id"], docs["text"])
 
     def send(batches):
         from pyspark import TaskContext
 
         me, rounds, held, n = TaskContext.get().partitionId(), 0, [], 0
-        for batch in batches:
-            found = [fingerprint(hashlib.sha256(normalised(t)).digest(), bits) for t in batch.column(1).to_pylist()]
+        for _, texts in text_groups(batches):
+            found = [fingerprint(hashlib.sha256(normalised(t)).digest(), bits) for t in texts]
             held.append(np.array(found, np.uint64))
             n += len(found)
             if n >= ROUND:
@@ -150,11 +162,8 @@ def exact_duplicates(docs: DataFrame, carry: bool = False, owners: int | None =
     shelf = F.pmod(F.shiftright("src", 20), F.lit(shelves)).cast("int")
     answers.withColumn("shelf", shelf).repartition("shelf").sortWithinPartitions("shelf", "src").write.partitionBy("shelf").parquet(f"{home}/answers")
 
-    whole = docs if carry else read
-    names = whole.columns
-    id_at, text_at = names.index("doc_id"), names.index("text")
-    marked = T.StructType([T.StructField("rid", T.LongType()), T.StructField("text_sha256", T.StringType()), T.StructField("suspect", T.BooleanType())])
-    marked = T.StructType([*marked.fields, *[T.StructField(f"c{i}", f.dataType) for i, f in enumerate(whole.schema.fields)]])
+    marked = "rid long, doc_id long, text_key long, text_sha256 string, suspect boolean, text string"
+    names = [x.split()[0] for x in marked.split(", ")]
 
     def mark(batches):
         from pyspark import TaskContext
@@ -163,30 +172,26 @@ def exact_duplicates(docs: DataFrame, carry: bool = False, owners: int | None =
         for batch in batches:
             if repeated is None:
                 repeated = _known(f"{home}/answers/shelf={me % shelves}", me, owners, bits)
-            hashes, suspects = [], []
-            for t in batch.column(text_at).to_pylist():
-                digest = hashlib.sha256(normalised(t))
-                hashes.append(digest.hexdigest())
-                suspects.append(repeated.get(fingerprint(digest.digest(), bits), True))
-            arrays = list(batch.columns)
-            if not carry:
-                # a unique text's bytes aren't needed any more
-                texts = arrays[text_at]
-                arrays[text_at] = pa.array([t if s else None for t, s in zip(texts.to_pylist(), suspects, strict=True)], texts.type)
             ids = pa.array(range((me << 40) | n, ((me << 40) | n) + batch.num_rows), pa.int64())
             n += batch.num_rows
-            yield pa.RecordBatch.from_arrays([ids, pa.array(hashes, pa.string()), pa.array(suspects, pa.bool_()), *arrays], names=marked.names)
-
-    rows = written(whole.mapInArrow(mark, marked), f"{home}/rows")
+            hashes, suspects, texts = [], [], []
+            for _, group in text_groups([batch]):
+                for t in group:
+                    digest = hashlib.sha256(normalised(t))
+                    hashes.append(digest.hexdigest())
+                    suspects.append(repeated.get(fingerprint(digest.digest(), bits), True))
+                    texts.append(t if suspects[-1] else None)  # a unique text's bytes aren't needed any more
+            yield pa.RecordBatch.from_arrays([ids, batch.column(0).cast(pa.int64()), batch.column(2), pa.array(hashes, pa.string()), pa.array(suspects, pa.bool_()), pa.array(texts, pa.string())], names=names)
+
+    keyed = docs.select(docs["doc_id"], docs["text"], F.xxhash64(docs["text"]).alias("text_key"))
+    rows = written(keyed.mapInArrow(mark, marked), f"{home}/rows")
     delete(spark, f"{home}/answers")
-    doc_id, text = F.col(f"c{id_at}"), F.col(f"c{text_at}")
-    shown = [F.struct(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)]).alias("row")] if carry else []
-    unique = rows.filter("not suspect").select(doc_id.alias("doc_id"), doc_id.alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", *shown)
+    unique = rows.filter("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "text_key")
     suspects = rows.filter("suspect")
-    groups = suspects.groupBy(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER).alias("whole_text")).agg(F.max(F.struct(doc_id.alias("doc_id"), F.col("rid"))).alias("keep"), F.count(F.lit(1)).alias("group_size"), F.first("text_sha256").alias("sha"))
+    groups = suspects.groupBy(F.translate("text", UPPER, LOWER).alias("whole_text")).agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count(F.lit(1)).alias("group_size"), F.first("text_sha256").alias("sha"))
     groups = written(groups.select("sha", F.col("keep.doc_id").alias("keep_id"), F.col("keep.rid").alias("keep_rid"), "group_size"), f"{home}/groups")
-    joined = suspects.join(groups, F.col("text_sha256") == F.col("sha"))
-    joined = joined.select(doc_id.alias("doc_id"), "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256", *shown)
+    joined = suspects.drop("text").join(groups, F.col("text_sha256") == F.col("sha"))
+    joined = joined.select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256", "text_key")
     return unique.unionByName(joined)
 
 

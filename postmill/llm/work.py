@@ -8,7 +8,10 @@ import uuid
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Rows up to which a list of documents is broadcast (some 16 bytes each); beyond that it is joined by a shuffle.
+LISTED = 2_000_000
 _LOCAL: dict[str, str] = {}
 
 
@@ -44,3 +47,23 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that further columns of the input can't clash with an operator's own."""
     return df.select(*[df[n] for n in names])
+
+
+def rows_left(docs: DataFrame, fates: DataFrame, uri: str) -> DataFrame:
+    """``docs`` without the rows that ``fates`` (doc_id, text_key, kept) drops; ``text_key`` is Spark's xxhash64 of the text.
+
+    Of rows that share both, one stays if any is kept. Only keys with a dropped row are listed; texts aren't copied.
+    """
+    keys = fates.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("n_kept")).filter("n_kept = 0 or n > 1")
+    keys = written(keys.select(F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_key"), F.col("n_kept") > 0).toDF("of_doc", "of_key", "stays"), uri)
+    listed = F.broadcast(keys) if keys.count() <= LISTED else keys
+    same = docs["doc_id"].eqNullSafe(keys["of_doc"]) & (F.xxhash64(docs["text"]) == keys["of_key"])
+    left = docs.join(listed, same, "left_anti")
+    again = keys.filter("stays")
+    if again.isEmpty():
+        return left
+    same = docs["doc_id"].eqNullSafe(again["of_doc"]) & (F.xxhash64(docs["text"]) == again["of_key"])
+    repeated = docs.join(F.broadcast(again) if again.count() <= LISTED else again, same, "left_semi")
+    row = F.struct(*[repeated[c] for c in docs.columns]).alias("row")
+    once = repeated.select(repeated["doc_id"].alias("i"), F.xxhash64(repeated["text"]).alias("k"), row).groupBy("i", "k").agg(F.first("row").alias("row"))
+    return left.unionByName(once.select("row.*"))

@@ -388,8 +388,9 @@ def test_op9(spark, docs, empty):
     assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in found), key=str) == expected
     assert sum(r["kept"] for r in found) == len(groups)
     assert golomb.exact_duplicates(empty).count() == 0
-    carried = golomb.exact_duplicates(docs, carry=True).filter("kept").select("row.*")
-    assert carried.columns == docs.columns and carried.count() == len(groups)
+    whole = golomb.once_each(docs)
+    stay = {(max((x for x in ids if x is not None), default=None), t) for t, ids in groups.items()}
+    assert whole.columns == docs.columns and sorted(((r["doc_id"], low(r["text"])) for r in whole.collect()), key=str) == sorted(stay, key=str)
 
 
 def test_op10(spark, docs, empty):
