@@ -3,12 +3,17 @@
 Every stage reads what the one before kept, takes its decisions on all of it, and returns the columns of ``documents``
 (the last one the packed pieces). ``run`` writes each stage's rows as Parquet in the shared folder and reads them again.
 Classifier and decision list learn from the labels of documents that are still there.
+
+Cases: a null text counts as empty, is not toxic and fails the quality rule (fewer than ten words); repeated rows share
+their fate in the first two stages, of rows with one text one stays in the third; rows are told apart by doc_id and text,
+so rows that share a doc_id, or have none, are judged each for itself; texts of any length are read whole; ties go to the
+largest doc_id (equal texts) or the smallest (near copies); an empty table gives no rows; further columns stay until the
+last stage, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from postmill.llm import cutting_stock, decision_list, golomb, signature_tree, toxicity
 from postmill.llm.work import work_dir, written
@@ -23,22 +28,19 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the learned decision list."""
-    statistics = decision_list.statistics_table(docs, carry=True)
-    rules = decision_list.fit(statistics.drop("row"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return decision_list.with_verdict(statistics, rules).filter("kept").select("row.*")
+    return decision_list.passing(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def once_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id."""
     ship(spark)
-    return golomb.exact_duplicates(docs, carry=True).filter("kept").select("row.*")
+    return golomb.once_each(docs)
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by their shingles, the one with the smallest doc_id."""
     ship(spark)
-    dropped = signature_tree.similar_documents(docs).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return signature_tree.one_of_each(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
