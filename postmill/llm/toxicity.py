@@ -2,12 +2,14 @@
 
 Categories are predicted one after another by logistic models over the beginnings of words (four and five letters; the
 presence of each, so that a text's length doesn't matter); every model also gets the probabilities of the categories
-before it. In training those come from out-of-fold predictions, as a model's own training predictions would be too good.
+before it. In training those come from out-of-fold predictions: a row's earlier probabilities are those of models whose
+features, weak labels and weights come from the other folds alone. Equal texts (A-Z as a-z) stand in one fold.
 
-The labels know one category, ``toxic``. The chain's earlier categories are weak labels from the labelled rows
-themselves: ``insult`` (toxic, with a beginning of words that toxic rows use far more often), and ``harassment`` (toxic,
-with three of them or more). Models are fitted on at most ``FIT_ROWS`` labelled rows, chosen by a hash of their doc_id,
-and ``FEATURES`` beginnings chosen by association over those rows; both numbers bound what reaches the driver.
+The labels know one category, ``toxic``. The chain's earlier categories are weak labels of the labelled rows, degrees of
+the same: ``insult`` (toxic, with a beginning of words that toxic rows use far more often) and ``harassment`` (toxic, with
+three of them or more). An independent second category would need labels of its own (threats, slurs, sexual content),
+which ``fit_chain`` takes as they are. Models are fitted on at most ``FIT_ROWS`` labelled rows, chosen by a hash of their
+doc_id, and ``FEATURES`` beginnings chosen by association over those rows; both numbers bound what reaches the driver.
 
 Cases: a null or empty text has no words and gets the intercepts' probabilities; texts of any length are read whole;
 repeated rows are scored each for itself; without labels, or with one class only, all probabilities are 0 and nothing is
@@ -24,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .work import columns, work_dir, written
+from .pieces import text_groups
+from .work import columns, delete, work_dir, written
 
 FIT_ROWS, FEATURES, FOLDS = 12_000, 400, 5
 CATEGORIES = ("insult", "harassment", "toxic")
@@ -57,25 +60,32 @@ def _probability(x: np.ndarray, model: tuple[np.ndarray, float]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ model[0] + model[1], -30, 30)))
 
 
-def fit_chain(x: np.ndarray, targets: list[np.ndarray], folds: np.ndarray) -> list[tuple[np.ndarray, float]]:
-    """A model for each category; the k-th has k weights more, for the probabilities before it.
+def _counted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """A model of rows of which equal ones are fitted as one with a count (most clean rows have none of the features)."""
+    if not y.any() or y.all():
+        return np.zeros(x.shape[1]), 30.0 if y.any() else -30.0
+    mark = x @ np.random.default_rng(0).random(x.shape[1]) + 1e3 * y  # rows of one mark are equal
+    _, at, counts = np.unique(mark, return_index=True, return_counts=True)
+    return fit_logistic(x[at], y[at], counts)
 
-    Equal rows of a fold are one row with a count (most clean rows have none of the features).
+
+def fit_chain(whole: tuple[np.ndarray, list[np.ndarray]], parts: list[tuple[np.ndarray, list[np.ndarray]]], folds: np.ndarray) -> tuple[list[tuple[np.ndarray, float]], np.ndarray]:
+    """A model for each category, and the out-of-fold probabilities.
+
+    ``whole``: features and categories of all rows; ``parts``: the same for each fold, chosen without looking at it. The
+    k-th model has k weights more, for the probabilities of the categories before it.
     """
-    every, counts = np.unique(np.column_stack([x, *targets, folds]), axis=0, return_counts=True)
-    x, folds = every[:, : x.shape[1]], every[:, -1]
-    targets = [every[:, x.shape[1] + k] == 1 for k in range(len(targets))]
-    models, earlier = [], np.zeros((len(x), 0))
-    for y in targets:
-        wide = np.hstack([x, earlier])
-        models.append(fit_logistic(wide, y, counts))
-        out_of_fold = np.zeros(len(x))
-        for f in np.unique(folds):
-            rest = folds != f
-            part = fit_logistic(wide[rest], y[rest], counts[rest]) if y[rest].any() and not y[rest].all() else (np.zeros(wide.shape[1]), -30.0 if not y[rest].any() else 30.0)
-            out_of_fold[~rest] = _probability(wide[~rest], part)
+    models, earlier = [], np.zeros((len(folds), 0))
+    for k in range(len(whole[1])):
+        out_of_fold = np.zeros(len(folds))
+        for f, (x, targets) in enumerate(parts):
+            inside = folds == f
+            if inside.any():
+                wide = np.hstack([x, earlier])
+                out_of_fold[inside] = _probability(wide[inside], _counted(wide[~inside], targets[k][~inside]))
+        models.append(_counted(np.hstack([whole[0], earlier]), whole[1][k]))
         earlier = np.hstack([earlier, out_of_fold[:, None]])
-    return models
+    return models, earlier
 
 
 class Chain:
@@ -104,45 +114,61 @@ def fit(docs: DataFrame, labels: DataFrame) -> Chain:
     share = min(1.0, FIT_ROWS / max(1, labels.count()))
     chosen = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(share * 1_000_003)).limit(2 * FIT_ROWS)
     # at most twice FIT_ROWS rows of two numbers
-    texts = columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    texts = columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    fold = F.pmod(F.xxhash64(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), F.lit(FOLDS))
+    texts = texts.select("doc_id", F.col("toxic").cast("long"), fold.cast("long"), "text")
 
     def run(batches):
         for batch in batches:
-            found = pa.array([sorted(beginnings(t)) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int64()), found], names=["doc_id", "toxic", "features"])
-
-    sample = written(texts.mapInArrow(run, "doc_id long, toxic long, features array<string>"), work_dir(docs.sparkSession, "toxicity"))
-    totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
-    if not n_toxic or not n_clean:
+            found = pa.array([sorted(beginnings(t)) for _, group in text_groups([batch], 0, 3) for t in group], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).cast(pa.int64()) for k in range(3)], found], names=["doc_id", "toxic", "fold", "features"])
+
+    home = work_dir(docs.sparkSession, "toxicity")
+    sample = written(texts.mapInArrow(run, "doc_id long, toxic long, fold long, features array<string>"), f"{home}/sample")
+    of_fold = {(r["fold"], r["toxic"]): r["n"] for r in sample.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    totals = [sum(n for (_, t), n in of_fold.items() if t == c) for c in (0, 1)]
+    if not all(totals):
         return Chain([], [])
-    seen = sample.select("doc_id", "toxic", F.explode("features").alias("feature"))
-    counts = seen.groupBy("feature").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n")).filter("n >= 3")
-    odds = F.log2((F.col("a") + 0.5) / (n_toxic + 1.0)) - F.log2((F.col("n") - F.col("a") + 0.5) / (n_clean + 1.0))
-    worth = F.abs(odds) * F.abs(F.col("a") / n_toxic - (F.col("n") - F.col("a")) / n_clean)
-    ranked = counts.select("feature", odds.alias("odds"), worth.alias("worth")).filter("abs(odds) >= 2").orderBy(F.desc("worth"), "feature").limit(FEATURES).collect()
-    features = [r["feature"] for r in ranked]
-    telling = np.array([r["odds"] > 3 for r in ranked])
-    listed = docs.sparkSession.createDataFrame([(f, i) for i, f in enumerate(features)], "feature string, at int")
-    rows = seen.join(F.broadcast(listed), "feature").groupBy("doc_id").agg(F.collect_list("at").alias("at"))
-    rows = sample.select("doc_id", "toxic").join(rows, "doc_id", "left").orderBy("doc_id").collect()
-    x = np.zeros((len(rows), len(features)))
+    seen = sample.select("doc_id", "toxic", "fold", F.explode("features").alias("feature"))
+    inside = [F.count_if(F.col("fold") == f).alias(f"n{f}") for f in range(FOLDS)] + [F.count_if((F.col("fold") == f) & (F.col("toxic") == 1)).alias(f"a{f}") for f in range(FOLDS)]
+    counts = written(seen.groupBy("feature").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count(F.lit(1)).alias("n"), *inside).filter("n >= 3"), f"{home}/counts")
+
+    def ranked(without: int | None) -> list:
+        """The features that all folds but one would choose, and their log odds."""
+        a, n = (F.col(c) if without is None else F.col(c) - F.col(f"{c}{without}") for c in "an")
+        clean, toxic = (total - of_fold.get((without, c), 0) for c, total in enumerate(totals))
+        odds = F.log2((a + 0.5) / (toxic + 1.0)) - F.log2((n - a + 0.5) / (clean + 1.0))
+        worth = F.abs(odds) * F.abs(a / F.lit(max(1, toxic)) - (n - a) / F.lit(max(1, clean)))
+        return counts.filter(n >= 3).select("feature", odds.alias("odds"), worth.alias("worth")).filter("abs(odds) >= 2").orderBy(F.desc("worth"), "feature").limit(FEATURES).collect()
+
+    splits = [ranked(f) for f in (None, *range(FOLDS))]
+    union = sorted({r["feature"] for split in splits for r in split})
+    listed = docs.sparkSession.createDataFrame([(f, i) for i, f in enumerate(union)], "feature string, at int")
+    rows = seen.join(F.broadcast(listed), "feature").groupBy("doc_id").agg(F.collect_set("at").alias("at"))
+    rows = sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("fold").alias("fold")).join(rows, "doc_id", "left").orderBy("doc_id").collect()
+    every = np.zeros((len(rows), len(union)), np.float32)
     for i, r in enumerate(rows):
-        x[i, r["at"] or []] = 1
-    toxic = np.array([r["toxic"] == 1 for r in rows])
-    hits = x @ telling
-    folds = np.arange(len(rows)) % FOLDS
-    return Chain(features, fit_chain(x, [toxic & (hits >= 1), toxic & (hits >= 3), toxic], folds))
+        every[i, r["at"] or []] = 1
+    toxic, place = np.array([r["toxic"] == 1 for r in rows]), {f: i for i, f in enumerate(union)}
+
+    def view(split: list) -> tuple[np.ndarray, list[np.ndarray]]:
+        x = every[:, [place[r["feature"]] for r in split]].astype(float)
+        hits = x @ np.array([float(r["odds"] > 3) for r in split])
+        return x, [toxic & (hits >= 1), toxic & (hits >= 3), toxic]
+
+    models, _ = fit_chain(view(splits[0]), [view(s) for s in splits[1:]], np.array([r["fold"] for r in rows]))
+    delete(docs.sparkSession, home)
+    return Chain([r["feature"] for r in splits[0]], models)
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
     """doc_id, a probability for each category, and ``toxic``."""
 
     def run(batches):
-        for batch in batches:
-            found = [chain.score(t) for t in batch.column(1).to_pylist()]
+        for ids, texts in text_groups(batches):
+            found = [chain.score(t) for t in texts]
             parts = [pa.array([x[k] for x in found], pa.float64()) for k in range(len(CATEGORIES))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *parts, pa.array([x[-1] >= threshold for x in found], pa.bool_())], names=["doc_id", *[f"p_{c}" for c in CATEGORIES], "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *parts, pa.array([x[-1] >= threshold for x in found], pa.bool_())], names=["doc_id", *[f"p_{c}" for c in CATEGORIES], "toxic"])
 
     return columns(docs, "doc_id", "text").mapInArrow(run, f"doc_id long, {', '.join(f'p_{c} double' for c in CATEGORIES)}, toxic boolean")
 
@@ -153,10 +179,11 @@ def without_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> Data
 
     def run(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):  # few texts as Python objects at a time
-                part = batch.slice(k, 1024)
-                keep = [chain.score(t)[-1] < threshold for t in part.column(at).to_pylist()]
-                yield part.filter(pa.array(keep, pa.bool_()))
+            k = 0
+            for _, texts in text_groups([batch], at, at):  # few texts as Python objects at a time
+                keep = [chain.score(t)[-1] < threshold for t in texts]
+                yield batch.slice(k, len(texts)).filter(pa.array(keep, pa.bool_()))
+                k += len(texts)
 
     return docs.mapInArrow(run, docs.schema)
 
