@@ -3,7 +3,7 @@
 The automaton holds every template's words. A text streams through it: at each word it knows the longest run of words
 that ends there and stands in some template (the matching statistics). Runs that can't be lengthened, of ``SHORTEST``
 words at least, are chained in the order of text and template; a chain is a span, and its worth the share of the template
-that it covers. A label that names a version is given only where the span holds the version's words. Phrases are marked on the automaton's states, and so are found wherever they end.
+that it covers. Where a run stands several times in a template, the place next after the chain's end counts. A label that names a version is given only where the span holds the version's words. Phrases are marked on the automaton's states, and so are found wherever they end.
 
 Cases: a null or empty text has no words, no labels and score 0; texts of any length stream through whole; repeated rows
 are scanned each for itself; an empty table gives no rows; further columns are ignored.
@@ -11,9 +11,12 @@ are scanned each for itself; an empty table gives no rows; further columns are i
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .pieces import text_groups
 from .work import columns
 
 SHORTEST, GAP, ENOUGH = 3, 40, 0.75
@@ -78,7 +81,7 @@ class Automaton:
         self.vocabulary: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.places: list[dict[int, int]] = [{}]  # of a state: a place where its strings end, for each template
+        self.places: list[dict[int, list[int]]] = [{}]  # of a state: the places where its strings end, by template, in order
         self.names: list[str] = []
         self.sizes: list[int] = []
         for name, texts in templates.items():
@@ -92,8 +95,9 @@ class Automaton:
             self._add(words, None)
         order = sorted(range(1, len(self.next)), key=lambda s: -self.length[s])
         for s in order:
-            for t, end in self.places[s].items():
-                self.places[self.link[s]].setdefault(t, end)
+            for t, places in self.places[s].items():
+                places[:] = sorted(set(places))
+                self.places[self.link[s]].setdefault(t, []).extend(places)
         own: list[list[tuple[int, str]]] = [[] for _ in self.next]
         for phrase, words in spelled.items():
             s = 0
@@ -133,7 +137,7 @@ class Automaton:
                     self.link[s] = q if self.length[q] == self.length[p] + 1 else self._clone(p, q, w)
                 last = s
             if template is not None:
-                self.places[last].setdefault(template, end)
+                self.places[last].setdefault(template, []).append(end)
 
     def statistics(self, words: list[bytes]):
         """The runs that can't be lengthened, (first word, length, state), and the phrases' places (first word, label)."""
@@ -174,17 +178,17 @@ def chains(automaton: Automaton, runs: list[tuple[int, int, int]]) -> list[tuple
         out.append((automaton.names[t], first, end, min(1.0, covered / automaton.sizes[t])))
 
     for first, n, state in runs:
-        for t, place in automaton.places[state].items():
-            start = place - n + 1
+        for t, places in automaton.places[state].items():
             if t in open_:
                 chain = open_[t]
-                if first - chain[1] > GAP or start < chain[2] - n:
-                    close(t)
-                else:
-                    new = min(n, max(0, place + 1 - chain[2]))
-                    open_[t] = [chain[0], max(chain[1], first + n), max(chain[2], place + 1), chain[3] + new]
+                # of all places, the first that leads on from the chain's end in the template
+                at = bisect_left(places, chain[2])
+                if first - chain[1] <= GAP and at < len(places):
+                    place = places[at]
+                    open_[t] = [chain[0], max(chain[1], first + n), place + 1, chain[3] + min(n, place + 1 - chain[2])]
                     continue
-            open_[t] = [first, first + n, place + 1, n]
+                close(t)
+            open_[t] = [first, first + n, places[0] + 1, n]
     for t in list(open_):
         close(t)
     return sorted(out, key=lambda x: (x[1], x[2], x[0]))
@@ -211,12 +215,12 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, phrases
     types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64(), span]
 
     def run(batches):
-        for batch in batches:
-            rows = [scan_text(automaton, t) for t in batch.column(1).to_pylist()]
+        for ids, texts in text_groups(batches):
+            rows = [scan_text(automaton, t) for t in texts]
             if rows:
                 found = list(zip(*rows, strict=True))
                 found[-1] = tuple([dict(zip(("label", "first_word", "end_word", "covered"), x, strict=True)) for x in spans] for spans in found[-1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(c, t) for c, t in zip(found, types[1:], strict=True)]], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(c, t) for c, t in zip(found, types[1:], strict=True)]], names=names)
 
     return columns(docs, "doc_id", "text").mapInArrow(run, RESULT)
 
