@@ -157,6 +157,29 @@ def test_op3(docs, empty):
     assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], r["score"]) == (10, 2, 2, 7, "cc-by,reserved", "cc-by,cc-by-nc-4.0,reserved", 1.0)
     assert (scanned[3]["n_words"], scanned[3]["first_word"], scanned[3]["labels"], scanned[3]["score"]) == (0, None, "", 0.0)
     assert licenses.scan(empty).count() == 0
+    extra = [(30, "CC by cc-BY, General  Public\tLicense/general public license"), (31, "xcc by " * 300 + "all RIGHTS\n\nreserved"), (32, "all rights all rights reserved"), (33, "\xa0cc by\xa0")]
+    both = docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame(extra, "doc_id int, text string"))
+    found = sorted((tuple(r[c] for c in ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")) for r in licenses.scan(both).collect()), key=str)
+    assert found == sorted((brute_phrases(i, t) for i, t in [*TEXTS, *extra]), key=str)
+    for r in licenses.scan(both).collect():
+        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+        assert r["labels"] == ",".join(sorted(set(filter(None, r["base_labels"].split(","))) | {x["label"] for x in r["spans"]}))
+
+
+def brute_phrases(i, t):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+    at = [(k, label) for phrase, label in licenses.PHRASES.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+    return i, len(words), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), ",".join(sorted({x for _, x in at}))
+
+
+def test_phrases_that_stand_twice_in_a_template():
+    template = "you may copy the work if you keep this note and you may change the work if you keep this note too"
+    automaton = licenses.Automaton({"x": [template]}, {})
+    spans = licenses.chains(automaton, automaton.statistics(licenses.words_of(template.replace("copy", "COPY!")))[0])
+    assert ("x", 0, len(template.split()), 1.0) in spans
+    broken = template.replace(" and ", " but ")  # two runs; what the second begins with also stands in the first
+    spans = licenses.chains(automaton, automaton.statistics(licenses.words_of(broken))[0])
+    assert max(x[3] for x in spans) >= 0.9 and spans[0][1:3] == (0, len(template.split()))
 
 
 @settings(max_examples=200, deadline=None)
@@ -171,8 +194,9 @@ def test_matching_statistics(templates, text, phrase):
     assert [(a, n) for a, n, _ in runs] == expected
     assert sorted(found) == [(i, "p") for i in range(len(text) - len(phrase) + 1) if text[i : i + len(phrase)] == phrase]
     for _, n, state in runs:
-        for t, place in automaton.places[state].items():
-            assert place + 1 >= n and t < len(templates)
+        for t, places in automaton.places[state].items():
+            run = templates[t][places[0] + 1 - n : places[0] + 1]
+            assert places == [k + n - 1 for k in range(len(templates[t]) - n + 1) if templates[t][k : k + n] == run]
 
 
 def brute_components(rows):
@@ -269,6 +293,59 @@ def test_op6(spark):
     assert html_text.extract(df.filter("false")).count() == 0
 
 
+ARTICLE_CASES = [
+    ("<article><div class='entry-header'><h1>Title of it</h1></div><p>{t}</p></article>", "Title of it\n{t}"),
+    ("<article><header><h1>Title</h1><p>By one</p></header><p>{t}</p><p class='related-work'>{t}</p></article>", "Title\nBy one\n{t}\n{t}"),
+    ("<header><h1>Site</h1></header><article><p>{t}</p><div class='share-links'>Share this</div><div class='comments'><p>{t}</p></div></article>", "{t}"),
+    # a region of links in the article is told from text by its ratios alone
+    ("<article><p>{t}</p><p>{t}</p><div>" + "<p><a>more <b>x</b></a></p>" * 9 + "</div></article>", "{t}\n{t}"),
+    ("<article><p>{t}</p><div><ul><li>one</li><li>two</li></ul></div></article>", "{t}\none\ntwo"),
+    ("<article><p>" + "<b><i>" * 50 + "{t}</p><p>{t}</p></article>", "{t}\n{t}"),
+]
+
+
+@pytest.mark.parametrize("case", ARTICLE_CASES)
+def test_regions_of_articles(case):
+    text = ("word " * 50).strip()
+    assert html_text.main_text("<body>" + case[0].format(t=text) + "<footer>Foot</footer></body>") == case[1].format(t=text)
+
+
+def test_clusters_choose_regions(monkeypatch):
+    """With every line taken for text, pages with lists of links in the article come out otherwise."""
+    text = ("word " * 50).strip()
+    page = "<body>" + ARTICLE_CASES[3][0].format(t=text) + "</body>"
+    before = html_text.main_text(page)
+    monkeypatch.setattr(html_text, "text_like", lambda lines: np.ones(len(lines), bool))
+    assert html_text.main_text(page) != before
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.tuples(st.text("ab", min_size=1, max_size=200), st.integers(0, 9)), min_size=1, max_size=30))
+def test_smoothed_ratios(rows):
+    lines = [html_text.Line(t, n, 0, 0, False) for t, n in rows]
+    ratio = [np.log1p(len(t) / max(1, n)) for t, n in rows]
+    smooth = []
+    for i in range(len(rows)):
+        near = [j for j in range(i - 2, i + 3) if 0 <= j < len(rows)]
+        weight = [np.exp(-0.5 * (j - i) ** 2) for j in near]
+        smooth.append(sum(w * ratio[j] for w, j in zip(weight, near)) / sum(weight))
+    found = html_text.text_like(lines)
+    if max(smooth) - min(smooth) < 0.5 - 1e-9:
+        assert found.all()
+    elif max(smooth) - min(smooth) > 0.5 + 1e-9:
+        # two means: every line is with the nearer one
+        means = [np.mean([s for s, f in zip(smooth, found) if f == side]) for side in (False, True)]
+        assert all((abs(s - means[1]) < abs(s - means[0]) + 1e-9) if f else (abs(s - means[0]) <= abs(s - means[1]) + 1e-9) for s, f in zip(smooth, found))
+
+
+def test_pages_longer_than_a_chunk(spark):
+    words = [f"w{i}" + "x" * 40 for i in range(6000)]
+    page = "<article>" + "".join(f"<p>{w} &amp; <b>{w}</b></p>" for w in words) + "</article>"
+    assert len(page) > 3 * html_text.CHUNK and html_text.main_text(page) == "\n".join(f"{w} & {w}" for w in words)
+    df = ship(spark).createDataFrame([(1, "u", page), (None, None, None)], "page_id int, url string, html string")
+    assert sorted((r["n_chars"] for r in html_text.extract(df).collect())) == [0, sum(2 * len(w) + 4 for w in words) - 1]
+
+
 @pytest.fixture(scope="module")
 def multi():
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -412,3 +489,28 @@ def test_op10(spark, docs, empty):
     none = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(docs, none).filter("not toxic").count() == len(TEXTS)
     assert toxicity.score(empty, chain).count() == 0 and toxicity.score(docs, chain).count() == len(TEXTS)
+    assert toxicity.score(docs.filter("doc_id >= 0").select(docs["doc_id"].cast("int"), "text"), chain).count() == len(TEXTS) - 2
+    for r in toxicity.score(df, chain).collect():  # the chain by hand
+        words = {w[:k] for w in rows[r["doc_id"]][1].split() for k in (4, 5)}
+        earlier = []
+        for c, w, b in zip(toxicity.CATEGORIES, chain.weights, chain.intercepts, strict=True):
+            z = b + sum(w[i] for f, i in chain.index.items() if f in words) + sum(w[len(chain.index) + k] * p for k, p in enumerate(earlier))
+            earlier.append(1 / (1 + np.exp(-z)))
+            assert abs(earlier[-1] - r[f"p_{c}"]) < 1e-9
+
+
+def test_out_of_fold_probabilities_have_not_seen_their_fold():
+    """Labels that are noise can't be foretold, though features that are chosen on all rows would seem to."""
+    rng = np.random.default_rng(3)
+    words, y, folds = rng.random((600, 3000)) < 0.05, rng.random(600) < 0.3, rng.integers(0, 5, 600)
+
+    def view(rows):
+        best = np.argsort(-np.abs(words[rows & y].mean(0) - words[rows & ~y].mean(0)))[:60]
+        return words[:, best].astype(float), [y, y]
+
+    whole = view(np.ones(600, bool))
+    models, honest = toxicity.fit_chain(whole, [view(folds != f) for f in range(5)], folds)
+    leaking = toxicity.fit_chain(whole, [whole] * 5, folds)[1]
+    auc = lambda p: (p[y][:, None] > p[~y][None]).mean() + (p[y][:, None] == p[~y][None]).mean() / 2
+    assert abs(auc(honest[:, 0]) - 0.5) < 0.1 < auc(leaking[:, 0]) - 0.5
+    assert [len(m[0]) for m in models] == [60, 61]
