@@ -39,7 +39,7 @@ from .work import LISTED, columns, delete, rows_left, work_dir, written
 WIDTH, SLOTS, SLICE = 5, 1 << 20, 1 << 12
 BLOCK, LEAF, FANOUT = 8192, 8, 4
 #: Keys of more classes get forests first; at most so many rounds of them.
-SMALL, ROUNDS = 8, 3
+SMALL, ROUNDS = 4, 3
 #: Bits of the widest signature.
 WIDEST = 1 << 16
 #: Least keys that a class remembers, so that most pairs are asked for once.
