@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -60,30 +62,26 @@ def _probability(x: np.ndarray, model: tuple[np.ndarray, float]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ model[0] + model[1], -30, 30)))
 
 
-def _counted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """A model of rows of which equal ones are fitted as one with a count (most clean rows have none of the features)."""
-    if not y.any() or y.all():
-        return np.zeros(x.shape[1]), 30.0 if y.any() else -30.0
-    mark = x @ np.random.default_rng(0).random(x.shape[1]) + 1e3 * y  # rows of one mark are equal
-    _, at, counts = np.unique(mark, return_index=True, return_counts=True)
-    return fit_logistic(x[at], y[at], counts)
+def _fitted(x: np.ndarray, y: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
+    return fit_logistic(x, y, counts) if y.any() and not y.all() else (np.zeros(x.shape[1]), 30.0 if y.any() else -30.0)
 
 
-def fit_chain(whole: tuple[np.ndarray, list[np.ndarray]], parts: list[tuple[np.ndarray, list[np.ndarray]]], folds: np.ndarray) -> tuple[list[tuple[np.ndarray, float]], np.ndarray]:
+def fit_chain(whole: Callable, parts: list[Callable], folds: np.ndarray, counts: np.ndarray) -> tuple[list[tuple[np.ndarray, float]], np.ndarray]:
     """A model for each category, and the out-of-fold probabilities.
 
-    ``whole``: features and categories of all rows; ``parts``: the same for each fold, chosen without looking at it. The
-    k-th model has k weights more, for the probabilities of the categories before it.
+    ``whole()`` gives features and categories of all rows (each row stands ``counts`` times); ``parts[f]()`` the same for
+    fold f, chosen without looking at it. The k-th model has k weights more, for the probabilities before it.
     """
-    models, earlier = [], np.zeros((len(folds), 0))
-    for k in range(len(whole[1])):
+    models, earlier, x, targets = [], np.zeros((len(folds), 0)), *whole()
+    for k in range(len(targets)):
         out_of_fold = np.zeros(len(folds))
-        for f, (x, targets) in enumerate(parts):
+        for f, part in enumerate(parts):
             inside = folds == f
             if inside.any():
-                wide = np.hstack([x, earlier])
-                out_of_fold[inside] = _probability(wide[inside], _counted(wide[~inside], targets[k][~inside]))
-        models.append(_counted(np.hstack([whole[0], earlier]), whole[1][k]))
+                own, of_own = part()
+                wide = np.hstack([own, earlier])
+                out_of_fold[inside] = _probability(wide[inside], _fitted(wide[~inside], of_own[k][~inside], counts[~inside]))
+        models.append(_fitted(np.hstack([x, earlier]), targets[k], counts))
         earlier = np.hstack([earlier, out_of_fold[:, None]])
     return models, earlier
 
@@ -144,11 +142,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Chain:
     splits = [ranked(f) for f in (None, *range(FOLDS))]
     union = sorted({r["feature"] for split in splits for r in split})
     listed = docs.sparkSession.createDataFrame([(f, i) for i, f in enumerate(union)], "feature string, at int")
-    rows = seen.join(F.broadcast(listed), "feature").groupBy("doc_id").agg(F.collect_set("at").alias("at"))
-    rows = sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("fold").alias("fold")).join(rows, "doc_id", "left").orderBy("doc_id").collect()
-    every = np.zeros((len(rows), len(union)), np.float32)
+    rows = seen.join(F.broadcast(listed), "feature").groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    rows = sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("fold").alias("fold")).join(rows, "doc_id", "left")
+    # rows with the same features are one with a count: most clean rows have none
+    rows = rows.groupBy("at", "toxic", "fold").agg(F.count(F.lit(1)).alias("n")).orderBy("at", "toxic", "fold").collect()
+    every = np.zeros((len(rows), len(union)), bool)
     for i, r in enumerate(rows):
-        every[i, r["at"] or []] = 1
+        every[i, r["at"] or []] = True
     toxic, place = np.array([r["toxic"] == 1 for r in rows]), {f: i for i, f in enumerate(union)}
 
     def view(split: list) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -156,7 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Chain:
         hits = x @ np.array([float(r["odds"] > 3) for r in split])
         return x, [toxic & (hits >= 1), toxic & (hits >= 3), toxic]
 
-    models, _ = fit_chain(view(splits[0]), [view(s) for s in splits[1:]], np.array([r["fold"] for r in rows]))
+    whole, *parts = [partial(view, split) for split in splits]
+    models, _ = fit_chain(whole, parts, np.array([r["fold"] for r in rows]), np.array([r["n"] for r in rows]))
     delete(docs.sparkSession, home)
     return Chain([r["feature"] for r in splits[0]], models)
 
