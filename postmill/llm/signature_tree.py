@@ -145,11 +145,20 @@ class Node:
         return self.leaves or [x for k in self.children for x in k.below()]
 
 
-def build(leaves: list[Leaf], by_size: bool = False) -> Node | None:
-    """A tree over leaves in the order of component and size (or of size alone), so that nodes hold what is alike."""
+def build(leaves: list[Leaf], round_: int | None = None) -> Node | None:
+    """A tree over leaves in the order of component and size, so that nodes hold what is alike.
+
+    For a round of forests they stand in the order of size at first, and then in a new order each time, so that other pairs
+    than those that weren't links are tried first.
+    """
     if not leaves:
         return None
-    leaves = sorted(leaves, key=(lambda x: (x.n, x.fid)) if by_size else (lambda x: (x.comp, x.n, x.fid)))
+    if round_ is None:
+        leaves = sorted(leaves, key=lambda x: (x.comp, x.n, x.fid))
+    elif round_ == 0:
+        leaves = sorted(leaves, key=lambda x: (x.n, x.fid))
+    else:
+        leaves = sorted(leaves, key=lambda x: (xxhash.xxh3_64_intdigest(x.fid.to_bytes(8, "little", signed=True), seed=round_), x.fid))
     level = [Node(leaves[k : k + LEAF], []) for k in range(0, len(leaves), LEAF)]
     while len(level) > 1:
         level = [Node([], level[k : k + FANOUT]) for k in range(0, len(level), FANOUT)]
@@ -322,13 +331,16 @@ def frequent_slots(counted: DataFrame) -> bytes:
 
 
 def members(docs: DataFrame, frequent: bytes, home: str, percent: int) -> DataFrame:
-    """(key, n_classes, fid) of the keys that several classes have; of keys with the same classes only the least."""
+    """(key, n_classes, fid, n) of the keys that several classes have; of keys with the same classes only the least.
+
+    Keys of two classes whose sizes rule a link out are left out.
+    """
 
     def emit(batches):
         hot, seen = np.unpackbits(np.frombuffer(frequent, np.uint8)).astype(bool), set()
-        names = ["key", "fid"]
+        names = ["key", "fid", "n"]
         for _, texts in text_groups(batches):
-            keys, fids = [], []
+            keys, fids, sizes = [], [], []
             for text in texts:
                 found = shingles(text)
                 fid = class_of(found)
@@ -341,38 +353,42 @@ def members(docs: DataFrame, frequent: bytes, home: str, percent: int) -> DataFr
                 chosen = np.concatenate([found[~last], found[last]])[:length]
                 keys.append(chosen.view(np.int64))
                 fids.append(np.full(length, fid, np.int64))
+                sizes.append(np.full(length, len(found), np.int64))
                 if len(keys) == 1000:
-                    yield _batch(names, list(map(np.concatenate, (keys, fids))))
-                    keys, fids = [], []
+                    yield _batch(names, list(map(np.concatenate, (keys, fids, sizes))))
+                    keys, fids, sizes = [], [], []
             if keys:
-                yield _batch(names, list(map(np.concatenate, (keys, fids))))
+                yield _batch(names, list(map(np.concatenate, (keys, fids, sizes))))
 
     def several(batches):
         """Rows come sorted by key and class; holds one batch, and the last key's first row while it is alone."""
         alone = last = None
+        names = ["key", "fid", "n"]
         for batch in batches:
-            key, fid = (batch.column(k).to_numpy() for k in range(2))
+            key, fid, n = (batch.column(k).to_numpy() for k in range(3))
             if not len(key):
                 continue
             new = np.r_[(last is None) or (key[0], fid[0]) != last, (key[1:] != key[:-1]) | (fid[1:] != fid[:-1])]
-            key, fid = key[new], fid[new]
+            key, fid, n = key[new], fid[new], n[new]
             if not len(key):
                 continue
             first = np.r_[last is None or key[0] != last[0], key[1:] != key[:-1]]
             out = ~first | np.r_[key[1:] == key[:-1], False]
             if alone and not first[0]:
-                yield _batch(["key", "fid"], [[alone[0]], [alone[1]]])
+                yield _batch(names, [[x] for x in alone])
             if out.any():
-                yield _batch(["key", "fid"], [key[out], fid[out]])
+                yield _batch(names, [key[out], fid[out], n[out]])
             last = (int(key[-1]), int(fid[-1]))
-            alone = None if out[-1] else last  # a key at the batch's end waits for its second class
+            alone = None if out[-1] else (*last, int(n[-1]))  # a key at the batch's end waits for its second class
 
-    keyed = columns(docs, "doc_id", "text").mapInArrow(emit, "key long, fid long")
-    shared = written(keyed.repartition("key").sortWithinPartitions("key", "fid").mapInArrow(several, "key long, fid long"), f"{home}/shared")
+    schema = "key long, fid long, n long"
+    keyed = columns(docs, "doc_id", "text").mapInArrow(emit, schema)
+    shared = written(keyed.repartition("key").sortWithinPartitions("key", "fid").mapInArrow(several, schema), f"{home}/shared")
     marks = [F.bit_xor(F.xxhash64(F.col("fid"), F.lit(k))).alias(f"mark{k}") for k in (1, 2)]
-    sets = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n_classes"), *marks)
+    sets = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n_classes"), F.min("n").alias("least"), F.max("n").alias("most"), *marks)
+    sets = sets.filter((F.col("n_classes") > 2) | (100 * F.col("least") >= percent * F.col("most")))
     asked = sets.groupBy("n_classes", "mark1", "mark2").agg(F.min("key").alias("key")).select("key", "n_classes")
-    out = written(shared.join(asked, "key").select("key", "n_classes", "fid"), f"{home}/members")
+    out = written(shared.join(asked, "key").select("key", "n_classes", "fid", "n"), f"{home}/members")
     delete(docs.sparkSession, f"{home}/shared")
     return out
 
@@ -431,6 +447,19 @@ def components(links: DataFrame, home: str) -> DataFrame:
             return labels
 
 
+def joined(labels: DataFrame | None, links: DataFrame, home: str) -> DataFrame:
+    """(fid, comp) after more links; these join components, of which there are fewer than classes."""
+    if labels is None:
+        return components(links, home)
+    of_a, of_b = (labels.select(F.col("fid").alias(c), F.col("comp").alias(f"of_{c}")) for c in "ab")
+    ends = links.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    moved = components(ends.filter("a <> b").distinct(), home).select(F.col("fid").alias("comp"), F.col("comp").alias("into"))
+    old = labels.join(moved, "comp", "left").select("fid", F.coalesce("into", "comp").alias("comp"))
+    # a component of one class had no label until now
+    alone = moved.join(labels.select(F.col("fid").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("fid"), F.col("into").alias("comp"))
+    return written(old.unionByName(alone), f"{home}/joined")
+
+
 def _named(known: DataFrame, labels: DataFrame | None, home: str) -> DataFrame:
     """Members with their component, of keys that hold several components."""
     named = known.withColumn("comp", F.col("fid")) if labels is None else known.join(labels, "fid", "left").withColumn("comp", F.coalesce("comp", "fid")).select(*known.columns, "comp")
@@ -445,15 +474,15 @@ def forest_pairs(known: DataFrame, labels: DataFrame | None, signs: DataFrame, h
     """Candidates (a, b) of this round's forests: each class stands in one tree, that of its largest key at first."""
     named = _named(known.filter(F.col("n_classes") > SMALL), labels, home)
     liked = F.col("n_classes") if round_ == 0 else F.lit(0)
-    chosen = named.groupBy("fid").agg(F.max(F.struct(liked.alias("liked"), F.xxhash64(F.col("key"), F.lit(round_)).alias("h"), "key", "n_classes", "comp")).alias("x")).select("fid", "x.key", "x.n_classes", "x.comp")
-    rows = chosen.join(signs.select("fid", "n", "sig"), "fid")
+    chosen = named.groupBy("fid").agg(F.max(F.struct(liked.alias("liked"), F.xxhash64(F.col("key"), F.lit(round_)).alias("h"), "key", "n_classes", "comp", "n")).alias("x")).select("fid", "x.key", "x.n_classes", "x.comp", "x.n")
+    rows = chosen.join(signs.select("fid", "sig"), "fid")
     # blocks of a large key are dealt anew in each round
     block = F.pmod(F.xxhash64(F.col("fid"), F.lit(round_)), F.ceil(F.col("n_classes") / BLOCK)).cast("int")
     rows = rows.select("key", block.alias("i"), "fid", "n", "comp", "sig")
 
     def traverse(batches):
         for _, held in _groups(batches, 2):
-            tree = build([Leaf(fid, n, comp, sig) for _, _, fid, n, comp, sig in held], by_size=True)
+            tree = build([Leaf(fid, n, comp, sig) for _, _, fid, n, comp, sig in held], round_)
             yield from _pair_batches(forest(tree, percent))
 
     return rows.repartition("key", "i").sortWithinPartitions("key", "i").mapInArrow(traverse, "a long, b long")
@@ -462,11 +491,11 @@ def forest_pairs(known: DataFrame, labels: DataFrame | None, signs: DataFrame, h
 def all_pairs(known: DataFrame, labels: DataFrame | None, signs: DataFrame, home: str, percent: int) -> DataFrame:
     """All candidates (a, b) of different components that share a key, by the key's tree."""
     named = _named(known, labels, home)
-    sizes = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    groups = sizes.groupBy("key").agg(F.sum("n").alias("total"), F.max(F.struct("n", "comp")).alias("main"))
-    groups = groups.select("key", F.col("main.comp").alias("main"), F.ceil(F.col("main.n") / BLOCK).cast("int").alias("inside"), F.ceil((F.col("total") - F.col("main.n")) / BLOCK).cast("int").alias("outside"))
+    sizes = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n_of"))
+    groups = sizes.groupBy("key").agg(F.sum("n_of").alias("total"), F.max(F.struct("n_of", "comp")).alias("main"))
+    groups = groups.select("key", F.col("main.comp").alias("main"), F.ceil(F.col("main.n_of") / BLOCK).cast("int").alias("inside"), F.ceil((F.col("total") - F.col("main.n_of")) / BLOCK).cast("int").alias("outside"))
     listed = named.groupBy("fid").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LISTED_KEYS).alias("keys"))
-    rows = named.select("key", "fid", "comp").join(groups, "key").join(signs.select("fid", "n", "sig"), "fid").join(listed, "fid")
+    rows = named.select("key", "fid", "n", "comp").join(groups, "key").join(signs.select("fid", "sig"), "fid").join(listed, "fid")
     is_main = F.col("comp") == F.col("main")
     spread = F.xxhash64("fid")
     one = (F.col("inside") == 1) & (F.col("outside") == 1)  # both fit into one tree
@@ -530,7 +559,7 @@ def linked_classes(docs: DataFrame, home: str, percent: int, stages: list | None
     signs = written(signs, f"{home}/signs")
     known = members(docs, frequent, home, percent)
 
-    labels, links, tried = None, None, None
+    labels, tried = None, None
     for stage in [*range(ROUNDS), None]:  # forests, then all pairs
         place = f"{home}/stage-{ROUNDS if stage is None else stage}"
         if stage is not None and tried is not None and new.isEmpty():
@@ -544,8 +573,7 @@ def linked_classes(docs: DataFrame, home: str, percent: int, stages: list | None
             stages.append(("all pairs" if stage is None else f"forest {stage}", pairs.count(), new.count()))
         tried = pairs if tried is None else tried.unionByName(pairs)
         if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            labels = components(links, place)
+            labels = joined(labels, new, place)
     least = signs.select("fid", "doc_id", "first") if labels is None else signs.join(labels, "fid", "left").select("fid", "doc_id", "first", "comp")
     least = least.withColumn("comp", F.col("fid") if labels is None else F.coalesce("comp", "fid"))
     of_comp = least.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min("first").alias("first"))

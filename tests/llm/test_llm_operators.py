@@ -509,8 +509,8 @@ def test_out_of_fold_probabilities_have_not_seen_their_fold():
         return words[:, best].astype(float), [y, y]
 
     whole = view(np.ones(600, bool))
-    models, honest = toxicity.fit_chain(whole, [view(folds != f) for f in range(5)], folds)
-    leaking = toxicity.fit_chain(whole, [whole] * 5, folds)[1]
+    models, honest = toxicity.fit_chain(lambda: whole, [lambda f=f: view(folds != f) for f in range(5)], folds, np.ones(600))
+    leaking = toxicity.fit_chain(lambda: whole, [lambda: whole] * 5, folds, np.ones(600))[1]
     auc = lambda p: (p[y][:, None] > p[~y][None]).mean() + (p[y][:, None] == p[~y][None]).mean() / 2
     assert abs(auc(honest[:, 0]) - 0.5) < 0.1 < auc(leaking[:, 0]) - 0.5
     assert [len(m[0]) for m in models] == [60, 61]
