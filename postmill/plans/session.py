@@ -10,10 +10,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows and bytes of the Arrow batches that operators take: texts may be long, and a batch stands several times in memory.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Adds the package to the session's Python files, once for each application, so that workers can import it."""
+    """Adds the package to the session's Python files, once for each application, so that workers can import it.
+
+    Also bounds the session's Arrow batches, where they are larger.
+    """
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         root = Path(__file__).resolve().parents[1]
@@ -23,4 +28,8 @@ def ship(spark: SparkSession) -> SparkSession:
                 bundle.write(path, path.relative_to(root.parent))
         spark.sparkContext.addPyFile(target)
         _SHIPPED.add(app)
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     return spark
