@@ -199,7 +199,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
         return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     names = ["size", "rank_from", "rank_to", "first_sequence", "each", "place", "unit_from", "unit_to"]
     # at most a few rows for each pattern and each sequence left by rounding: bounded by capacity / unit
-    rules = spark.createDataFrame(plan, ", ".join(f"{n} {'int' if n == 'size' else 'long'}" for n in names))
+    columns_ = zip(names, zip(*plan, strict=True), strict=True)
+    rules = spark.createDataFrame(pa.table({n: pa.array(c, pa.int32() if n == "size" else pa.int64()) for n, c in columns_}))
 
     blocks = int(max(1, demand.sum() // RANKED))
     key = ["doc_id", "start", "ids_crc32"]

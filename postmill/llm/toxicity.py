@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Chain:
 
     splits = [ranked(f) for f in (None, *range(FOLDS))]
     union = sorted({r["feature"] for split in splits for r in split})
-    listed = docs.sparkSession.createDataFrame([(f, i) for i, f in enumerate(union)], "feature string, at int")
+    listed = docs.sparkSession.createDataFrame(pa.table({"feature": pa.array(union, pa.string()), "at": pa.array(range(len(union)), pa.int32())}))
     rows = seen.join(F.broadcast(listed), "feature").groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("at"))
     rows = sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("fold").alias("fold")).join(rows, "doc_id", "left")
     # rows with the same features are one with a count: most clean rows have none
