@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable
 import numpy as np
 
 #: Bounds of a worker's cache, in pieces and in characters, for each of two generations.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 180_000
 CACHE_CHARS = 10_000_000
 #: New pieces that are encoded as one text, and a character that parts them where the ids alone don't.
 TOGETHER, MARK = 100, "\x01"
@@ -140,7 +140,7 @@ class PieceEncoder:
         others = iter(self.encode(whole) if whole else [])
         out = [np.array(next(others), np.uint32) if n is None else self._gather(n) for n in numbers]
         if len(self.index) > CACHE_PIECES or self.chars > CACHE_CHARS:
-            self.elder = (dict(self.index), self.starts, self.lengths, self.pool)
+            self.elder = (self.index, self.starts, self.lengths, self.pool)
             self._reset()
         return out
 

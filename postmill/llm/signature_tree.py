@@ -49,7 +49,7 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 100_000:
+        if len(self) > 50_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
