@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
 #: Rows and bytes of the Arrow batches that operators take: texts may be long, and a batch stands several times in memory.
-BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
