@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -95,14 +96,39 @@ def grounded(text: Column, phrase: Column, aliases: dict[str, list[str]] | None
     return F.exists(variants(norm(phrase), aliases), lambda v: (v != "") & (_bounded(t, v) | _in_order(t, v)))
 
 
+def grounded_literal(normalised: Column, phrase: str, aliases: dict[str, list[str]] | None = None) -> Column:
+    """``grounded`` for a phrase that is known: its patterns are constants, tried only where all its words stand.
+
+    ``normalised`` is the text's normal form; a null or empty text grounds nothing, nor does a blank phrase.
+    """
+    aliases = fixed.SKILL_ALIASES if aliases is None else aliases
+    phrase = " ".join(phrase.lower().split())
+    spelled = sorted({phrase} | {v for canon, values in aliases.items() if phrase in {canon, *values} for v in {canon, *values}})
+    edge, end = "(?:^|[^A-Za-z0-9])", "(?:[^A-Za-z0-9]|$)"
+    out = F.lit(False)
+    for v in filter(None, spelled):
+        words = re.findall(r"[a-z0-9][a-z0-9+\-.#]*", v)
+        found = normalised.contains(v) & normalised.rlike(f"{edge}\\Q{v}\\E{end}")
+        if len(words) > 1:
+            # each word begins where the last one's end mark stood, or after a later mark
+            ordered = normalised.rlike("(?s)" + edge + f"{end}(?:.*?[^A-Za-z0-9])?".join(f"\\Q{w}\\E" for w in words) + end)
+            for w in words:
+                ordered = normalised.contains(w) & ordered
+            found = found | ordered
+        elif words and words != [v]:
+            found = found | (normalised.contains(words[0]) & normalised.rlike(f"{edge}\\Q{words[0]}\\E{end}"))
+        out = out | found
+    return out
+
+
 def combine(df: DataFrame, text: str, lists: list[str], most: int = 25) -> DataFrame:
     """Adds skills_grounded and skills_ungrounded from candidate lists in their order, and the sanity flag for excel."""
     items = ordered_distinct(F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in lists]))
-    df = df.withColumn("_items", items)
-    good = F.slice(F.filter("_items", lambda x: grounded(F.col(text), x)), 1, most)
-    rest = F.slice(F.filter("_items", lambda x: ~grounded(F.col(text), x)), 1, most)
+    marked = F.transform(items, lambda x: F.struct(x.alias("x"), grounded(F.col(text), x).alias("good")))
+    df = df.withColumn("_items", marked)  # each phrase is judged once
+    good, rest = (F.slice(F.transform(F.filter("_items", keep), lambda m: m["x"]), 1, most) for keep in (lambda m: m["good"], lambda m: ~m["good"]))
     df = df.withColumn("skills_grounded", good).withColumn("skills_ungrounded", rest).drop("_items")
-    flag = F.array_join("skills_grounded", ", ").contains("excel") & ~grounded(F.col(text), F.lit("excel"))
+    flag = F.array_join("skills_grounded", ", ").contains("excel") & ~grounded_literal(norm(F.col(text)), "excel")
     return df.withColumn("sanity_flag_excel_like", flag)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.text import norm
 from ..operators import skills, topics
 from .base import NORM, P_SQL, in_sql, p_of, query, table
 
@@ -22,7 +23,7 @@ def _ascii(spark, sf):
 
 
 @query(f"""
-WITH tf AS ({_TF}), v AS (SELECT term, sum(tf) AS total, count(*) AS n_rows FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 20000),
+WITH tf AS ({_TF}), v AS (SELECT term, sum(tf) AS total, count(*) AS n_rows FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 200000),
 x AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + n_rows)) + 1) AS raw FROM tf JOIN v USING (term)),
 n AS (SELECT doc_id, sqrt(sum(raw * raw)) AS length FROM x GROUP BY doc_id)
 SELECT doc_id, rank, term, round(raw / length, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(raw, 9) DESC, term) AS rank FROM x) JOIN n USING (doc_id) WHERE rank <= 15""")
@@ -62,7 +63,8 @@ def _grounded_sql(phrase: str) -> str:
 
 @query(f"SELECT doc_id, {', '.join(f'{_grounded_sql(s)} AS s{i}' for i, s in enumerate(_SKILLS))} FROM (SELECT doc_id, {NORM.format(c='text')} AS t FROM documents)")
 def ground_phrases(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", *[skills.grounded(F.col("text"), F.lit(s)).alias(f"s{i}") for i, s in enumerate(_SKILLS)])
+    rows = table(spark, sf, "documents").select("doc_id", norm(F.col("text")).alias("t"))
+    return rows.select("doc_id", *[skills.grounded_literal(F.col("t"), s).alias(f"s{i}") for i, s in enumerate(_SKILLS)])
 
 
 @query("""SELECT doc_id, array_to_string(list_filter([CASE WHEN trim(a) <> '' THEN trim(a) END, CASE WHEN trim(b) <> '' AND lower(trim(b)) <> lower(trim(a)) THEN trim(b) END], lambda x: x IS NOT NULL), '|') AS items
