@@ -75,7 +75,7 @@ def fuzzy_titles(df: DataFrame, title: str, row_id: str, threshold: int = 90, sc
 
     score = SCORERS[scorer]
     named = df.withColumn("title_normalized", fuzzy_norm(F.col(title)))
-    distinct = named.groupBy("title_normalized").agg(F.min(row_id).alias("first_row"))
+    distinct = named.groupBy("title_normalized").agg(F.min(row_id).alias("first_row"), F.count(F.lit(1)).alias("n"))
 
     def cluster(batches):
         import pandas as pd
@@ -83,7 +83,7 @@ def fuzzy_titles(df: DataFrame, title: str, row_id: str, threshold: int = 90, sc
         canon: list[str] = []
         for pdf in batches:
             rows = []
-            for t in pdf["title_normalized"]:
+            for t, n in zip(pdf["title_normalized"], pdf["n"], strict=True):
                 best, at = -1.0, None
                 for c in canon:
                     found = score(t, c)
@@ -92,14 +92,13 @@ def fuzzy_titles(df: DataFrame, title: str, row_id: str, threshold: int = 90, sc
                 if at is None or best < threshold:
                     canon.append(t)
                     best, at = 100.0, t
-                rows.append((t, at, int(best), hashlib.md5(at.encode()).hexdigest()[:12]))
-            yield pd.DataFrame(rows, columns=["title_normalized", "title_canonical", "title_fuzzy_score", "title_cluster_id"])
-
-    ordered = distinct.repartition(1).sortWithinPartitions("first_row").select("title_normalized")
-    named_clusters = ordered.mapInPandas(cluster, "title_normalized string, title_canonical string, title_fuzzy_score int, title_cluster_id string")
-    sizes = named.groupBy("title_normalized").agg(F.count(F.lit(1)).alias("n")).join(named_clusters, "title_normalized")
-    total = sizes.groupBy("title_canonical").agg(F.sum("n").cast("int").alias("title_cluster_size"))
-    return named.join(named_clusters.join(total, "title_canonical"), "title_normalized")
+                rows.append((t, at, int(best), hashlib.md5(at.encode()).hexdigest()[:12], n))
+            yield pd.DataFrame(rows, columns=["title_normalized", "title_canonical", "title_fuzzy_score", "title_cluster_id", "n"])
+
+    ordered = distinct.repartition(1).sortWithinPartitions("first_row").select("title_normalized", "n")
+    clusters = ordered.mapInPandas(cluster, "title_normalized string, title_canonical string, title_fuzzy_score int, title_cluster_id string, n long")
+    size = F.sum("n").over(Window.partitionBy("title_canonical")).cast("int")  # of distinct titles
+    return named.join(clusters.withColumn("title_cluster_size", size).drop("n"), "title_normalized")
 
 
 def collapse_titles(df: DataFrame, row_id: str, keep: str = "first", date: str | None = None, keep_columns: bool = True) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges that confidence is cut into for ranking.
+BINS = 4096
+
 
 def confident_joint(df: DataFrame, label: str, p: str) -> DataFrame:
     """How many rows of each given label count confidently as each class.
@@ -29,8 +32,13 @@ def ranked_issues(df: DataFrame, label: str, p: str, row_id: str) -> DataFrame:
     own = F.when(F.col(label) == 1, F.col(p)).otherwise(1 - F.col(p))
     other_sure = F.when(F.col(label) == 1, 1 - F.col(p) >= F.col("t0")).otherwise(F.col(p) >= F.col("t1"))
     found = rows.withColumn("self_confidence", own).filter(other_sure & (F.col("self_confidence") < 0.5))
-    # a total order over all issues: a range exchange sorts them, and the rank is a count of what lies before
-    return found.withColumn("issue_rank", F.row_number().over(Window.orderBy("self_confidence", row_id))).drop("t0", "t1")
+    # ranked within narrow ranges of confidence; each range starts after the count of what lies below it
+    found = found.withColumn("_bin", F.floor(F.col("self_confidence") * BINS).cast("int"))
+    below = found.groupBy("_bin").agg(F.count(F.lit(1)).alias("_n"))
+    below = below.select("_bin", (F.sum("_n").over(Window.orderBy("_bin")) - F.col("_n")).cast("int").alias("_below"))  # at most BINS rows
+    place = F.row_number().over(Window.partitionBy("_bin").orderBy("self_confidence", row_id))
+    ranked = found.withColumn("_place", place).join(F.broadcast(below), "_bin")
+    return ranked.withColumn("issue_rank", F.col("_place") + F.col("_below")).drop("t0", "t1", "_bin", "_place", "_below")
 
 
 def uncertain(df: DataFrame, label: str, p: str, row_id: str, n: int, low: float, high: float) -> DataFrame:

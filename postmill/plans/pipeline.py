@@ -70,7 +70,7 @@ def run_all(spark: SparkSession, cfg: Config) -> dict[str, str]:
 
 
 def quality_report(before: DataFrame, after: DataFrame, row_id: str = "row_id", key: str = "id", uid: str | None = "uid") -> dict[str, DataFrame]:
-    """All of the report's tables; each side is read once for its metrics."""
+    """All of the report's tables."""
     core = [c for c in ("title", "company", "location", "description", "date_posted") if c in before.columns and c in after.columns]
     checks = lambda df: {n: (c if n2 in df.columns else None) for (n, n2), c in zip((("date", "date_posted"), ("location", "location"), ("domain", "domain")), quality.validity_checks("date_posted", "location", "domain").values(), strict=True)}
 
