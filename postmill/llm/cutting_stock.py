@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .pieces import text_groups, tokenizer_encoder
+from .pieces import CACHE_ALONE, CACHE_PIECES, text_groups, tokenizer_encoder
 from .work import columns, work_dir, written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -169,29 +169,29 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4"))
 
 
-def _encoded(batches, tokenizer: str, end_id: int, text_index: int = 1):
-    encode, end = tokenizer_encoder(tokenizer, words=True), np.array([end_id], np.uint32)
+def _encoded(batches, tokenizer: str, end_id: int, text_index: int = 1, cache: int = CACHE_PIECES):
+    encode, end = tokenizer_encoder(tokenizer, True, cache), np.array([end_id], np.uint32)
     for doc_ids, texts in text_groups(batches, 0, text_index):
         yield doc_ids, [np.concatenate([ids, end]) for ids in encode(texts)]
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, cache: int = CACHE_PIECES) -> DataFrame:
     """Each document's whole sequences and its remainder, with the checksum of their ids."""
 
     def run(batches):
-        for doc_ids, found in _encoded(batches, tokenizer, end_id):
+        for doc_ids, found in _encoded(batches, tokenizer, end_id, cache=cache):
             rows = [(i, k, min(capacity, len(ids) - k), _crc(ids[k : k + capacity]), len(ids)) for i, ids in zip(doc_ids, found, strict=True) for k in range(0, len(ids), capacity)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return columns(docs, "doc_id", "text").mapInArrow(run, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, unit: int = 4) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, unit: int = 4, cache: int = CACHE_PIECES) -> DataFrame:
     """Pieces with their sequence and offset: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     home = work_dir(spark, "packing")
     units = capacity // unit
-    pieces = written(pieces_of(docs, tokenizer, capacity, end_id).withColumn("size", F.ceil(F.col("length") / unit).cast("int")), f"{home}/pieces")
+    pieces = written(pieces_of(docs, tokenizer, capacity, end_id, cache).withColumn("size", F.ceil(F.col("length") / unit).cast("int")), f"{home}/pieces")
     counts = {r["size"]: r["n"] for r in pieces.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     demand = np.array([counts.get(s + 1, 0) for s in range(units)], np.int64)
     plan = plan_sequences(demand, units)
@@ -282,4 +282,4 @@ def op2_cutting_stock(spark: SparkSession, sf_dir: str, tokenizer: str | None =
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer)
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer, cache=CACHE_ALONE)

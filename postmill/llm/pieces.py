@@ -12,8 +12,9 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-#: Bounds of a worker's cache, in pieces and in characters, for each of two generations.
-CACHE_PIECES = 180_000
+#: Bounds of a worker's cache, in pieces and in characters, for each of two generations: where an operator is one of
+#: several that the workers keep caches for, and where it stands alone.
+CACHE_PIECES, CACHE_ALONE = 180_000, 400_000
 CACHE_CHARS = 10_000_000
 #: New pieces that are encoded as one text, and a character that parts them where the ids alone don't.
 TOGETHER, MARK = 100, "\x01"
@@ -39,8 +40,8 @@ class PieceEncoder:
     piece keeps the one white-space character before it. ``added``: the strings of the tokenizer's added tokens.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], words: bool = False, added: Iterable[str] = (), first: np.ndarray | None = None) -> None:
-        self.encode, self.words, self.added, self.first = encode, words, tuple(added), first
+    def __init__(self, encode: Callable[[list[str]], list], words: bool = False, added: Iterable[str] = (), first: np.ndarray | None = None, cache: int = CACHE_PIECES) -> None:
+        self.encode, self.words, self.added, self.first, self.cache = encode, words, tuple(added), first, cache
         self.mark = self.encode([MARK])[0]
         self.elder: tuple[dict, np.ndarray, np.ndarray, np.ndarray] = ({}, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
         self._reset()
@@ -139,7 +140,7 @@ class PieceEncoder:
         self._learn()
         others = iter(self.encode(whole) if whole else [])
         out = [np.array(next(others), np.uint32) if n is None else self._gather(n) for n in numbers]
-        if len(self.index) > CACHE_PIECES or self.chars > CACHE_CHARS:
+        if len(self.index) > self.cache or self.chars > CACHE_CHARS:
             self.elder = (self.index, self.starts, self.lengths, self.pool)
             self._reset()
         return out
@@ -162,12 +163,12 @@ def _grown(array: np.ndarray, need: int) -> np.ndarray:
     return out
 
 
-_ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, bool, int], PieceEncoder] = {}
 
 
-def tokenizer_encoder(path: str, words: bool = False) -> PieceEncoder:
+def tokenizer_encoder(path: str, words: bool = False, cache: int = CACHE_PIECES) -> PieceEncoder:
     """The worker's encoder for a tokenizer file, kept between tasks."""
-    if (path, words) not in _ENCODERS:
+    if (path, words, cache) not in _ENCODERS:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -183,8 +184,8 @@ def tokenizer_encoder(path: str, words: bool = False) -> PieceEncoder:
         def encode(texts: list[str]) -> list:
             return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-        _ENCODERS[path, words] = PieceEncoder(encode, words, added, first)
-    return _ENCODERS[path, words]
+        _ENCODERS[path, words, cache] = PieceEncoder(encode, words, added, first, cache)
+    return _ENCODERS[path, words, cache]
 
 
 def text_groups(batches, id_index: int = 0, text_index: int = 1, chars: int = 4_000_000):

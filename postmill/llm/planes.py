@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .pieces import text_groups, tokenizer_encoder
+from .pieces import CACHE_ALONE, text_groups, tokenizer_encoder
 from .work import columns, filesystem, work_dir, written
 
 MAGIC = b"PMPLANE1"
@@ -166,7 +166,7 @@ def write_planes(docs: DataFrame, tokenizer: str, out: str, end_id: int = 2, blo
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId()
-        encode, fs_path = tokenizer_encoder(tokenizer), None
+        encode, fs_path = tokenizer_encoder(tokenizer, cache=CACHE_ALONE), None
         end = np.array([end_id], np.uint32)
         for ids, texts in text_groups(batches):
             if fs_path is None:
