@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .pieces import text_groups
+from .pieces import cut_at_spaces, text_groups
 from .work import columns
 
 #: Bytes of new pre-tokens that are merged together (a longer pre-token is merged whole).
@@ -246,10 +246,9 @@ class ByteBpe:
 
     def _cut(self, text: str) -> list[list]:
         """The entries of the text's pieces or, where it can't be cut at white space, of its pre-tokens."""
-        parts = text.split()
-        if parts and len(text) == sum(map(len, parts)) + len(parts) - 1 and "\0" not in text:
+        parts = None if "\0" in text else cut_at_spaces(text)
+        if parts:
             # without two white-space characters in a row, and none at an end, a pre-token begins at each of them
-            parts = text.replace("\n", " \n").split(" ")
             parts[0] = "\0" + parts[0]
             if max(map(len, parts)) <= LONGEST_PIECE:
                 of = self.pieces.__getitem__

@@ -20,6 +20,23 @@ CACHE_CHARS = 10_000_000
 TOGETHER, MARK = 100, "\x01"
 
 
+#: White space but for the space and the line end.
+_OTHERS = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+
+
+def cut_at_spaces(text: str) -> list[str] | None:
+    """The text's pieces, of which all but the first follow a space or begin with a line end.
+
+    None where white space stands at an end of the text or touches other white space.
+    """
+    if any(c in text for c in _OTHERS):
+        parts = text.split()
+        if not parts or len(text) != sum(map(len, parts)) + len(parts) - 1:
+            return None
+    parts = text.replace("\n", " \n").split(" ")
+    return None if "" in parts or "\n" in parts else parts
+
+
 class _Index(dict):
     """Numbers pieces in the order of their first appearance."""
 
@@ -54,13 +71,11 @@ class PieceEncoder:
     def _cut(self, text: str) -> list[str] | None:
         if any(x in text for x in self.added):
             return None
-        parts = text.split()
         if self.words:
-            return None if any(c in text for c in "\x1c\x1d\x1e\x1f") else parts
-        if not parts or len(text) != sum(map(len, parts)) + len(parts) - 1:
-            return None
-        parts = text.replace("\n", " \n").split(" ")
-        parts[0] = "\0" + parts[0]  # no space stands before the first piece
+            return None if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+        parts = cut_at_spaces(text)
+        if parts:
+            parts[0] = "\0" + parts[0]  # no space stands before the first piece
         return parts
 
     def _spelled(self, piece: str) -> str:
