@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -15,10 +16,16 @@ from pyspark.sql import functions as F
 MODES = {"fast": {"max_features": 50_000, "min_df": 5, "folds": 2}, "precise": {"max_features": 150_000, "min_df": 2, "folds": 3}}
 
 
+def _tokens(df: DataFrame) -> DataFrame:
+    """Words and pairs of ``_text``: the same for all folds, so they are made once."""
+    words = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False).transform(df)
+    return NGram(n=2, inputCol="_words", outputCol="_pairs").transform(words)
+
+
 def _base(kind: str, mode: str, iterations: int) -> Pipeline:
     m = MODES[mode]
     half = m["max_features"] // 2
-    stages = [RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False), NGram(n=2, inputCol="_words", outputCol="_pairs")]
+    stages = []
     for c in ("_words", "_pairs"):
         stages += [CountVectorizer(inputCol=c, outputCol=f"{c}_n", vocabSize=half, minDF=m["min_df"], maxDF=0.95), IDF(inputCol=f"{c}_n", outputCol=f"{c}_w")]
     stages.append(VectorAssembler(inputCols=["_words_w", "_pairs_w"], outputCol="_features"))
@@ -38,12 +45,12 @@ class CalibratedClassifier:
     parts: list[tuple[PipelineModel, float, float]]
 
     def score(self, df: DataFrame, text: str, name: str = "p_rnd") -> DataFrame:
-        out, cols = df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))), df.columns
+        out, cols = _tokens(df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))), df.columns
         kept = list(cols)
         for i, (model, slope, intercept) in enumerate(self.parts):
             out = _margin(model, out).withColumn(f"_p{i}", 1 / (1 + F.exp(-(F.col("_margin") * slope + intercept))))
             kept.append(f"_p{i}")
-            out = out.select(*kept, "_text")
+            out = out.select(*kept, "_words", "_pairs")
         mean = sum((F.col(f"_p{i}") for i in range(len(self.parts))), F.lit(0.0)) / max(1, len(self.parts))
         return out.withColumn(name, mean).select(*cols, name)
 
@@ -77,13 +84,19 @@ def train(df: DataFrame, text: str, label: str, row_id: str, kind: str = "logreg
     weight = F.lit(1.0)
     for value, count in counts.items():
         weight = F.when(F.col("_label") == value, n / (len(counts) * count)).otherwise(weight)
-    rows = rows.withColumn("_weight", weight).persist()
-    parts = []
-    for fold in range(folds):
+    # texts are the weight of the work: spread over all cores, whatever the join before left
+    spark = rows.sparkSession
+    wide = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = _tokens(rows.withColumn("_weight", weight).repartition(wide)).drop("_text").persist()
+
+    def fit(fold: int) -> tuple[PipelineModel, float, float]:
         model = _base(kind, mode, iterations).fit(rows.filter(F.col("_fold") != fold))
-        margins = _margin(model, rows.filter(F.col("_fold") == fold).select("_text", "_label", "_weight", "_fold"))
+        margins = _margin(model, rows.filter(F.col("_fold") == fold))
         one = margins.select(array_to_vector(F.array("_margin")).alias("_features"), "_label")
         curve = LogisticRegression(featuresCol="_features", labelCol="_label", regParam=1e-6).fit(one)
-        parts.append((model, float(curve.coefficients[0]), float(curve.intercept)))
+        return model, float(curve.coefficients[0]), float(curve.intercept)
+
+    with ThreadPoolExecutor(folds) as pool:  # the folds' jobs are small and wait for the driver: they share the executors
+        parts = list(pool.map(fit, range(folds)))
     rows.unpersist()
     return CalibratedClassifier(parts)

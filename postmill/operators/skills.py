@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.text import norm
 
+BROADCAST_BYTES = 64 << 20
 TOKEN = r"\b[A-Za-z][A-Za-z0-9+\-.#]+\b"
 
 
@@ -19,7 +20,10 @@ def terms(df: DataFrame, row_id: str, text: str, stop_words: list[str] | None =
     stop = fixed.STOP_WORDS if stop_words is None else stop_words
     pattern = r"[A-Za-z][A-Za-z0-9+\-.#]+" if keep_symbols else TOKEN
     words = F.filter(F.regexp_extract_all(norm(F.col(text)), F.lit(pattern), F.lit(0)), lambda w: ~w.isin(*stop))
-    with_words = df.select(row_id, words.alias("w"))
+    # words move once, by row: counts, norms and ranks of a row's terms then need no exchange of n-grams. The number is
+    # given, as adaptive execution would merge partitions by the size of the words, not of the n-grams they become
+    wide = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    with_words = df.select(row_id, words.alias("w")).repartition(wide, row_id)
 
     def grams(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1)))
@@ -31,12 +35,14 @@ def terms(df: DataFrame, row_id: str, text: str, stop_words: list[str] | None =
 def tfidf_top(df: DataFrame, row_id: str, text: str, k: int = 15, max_features: int = 200_000, **options) -> DataFrame:
     """(row_id, rank, term, weight): smooth idf ``ln((1+n)/(1+df)) + 1``, L2 norm, the k heaviest of each row."""
     tf = terms(df, row_id, text, **options).groupBy(row_id, "term").agg(F.count(F.lit(1)).alias("tf"))
-    vocabulary = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("n_rows")).orderBy(F.desc("total"), "term").limit(max_features)
+    vocabulary = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("n_rows")).orderBy(F.desc("total"), "term").limit(max_features).select("term", "n_rows").persist()
+    # at most max_features terms, but a term may be of any length: broadcast only after its size is known
+    size = vocabulary.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0
     n = df.agg(F.count(F.lit(1)).alias("n_all"))
-    weighed = tf.join(vocabulary, "term").join(F.broadcast(n)).withColumn("raw", F.col("tf") * (F.log((1 + F.col("n_all")) / (1 + F.col("n_rows"))) + 1))
-    norms = weighed.groupBy(row_id).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
-    ranked = weighed.withColumn("rank", F.row_number().over(Window.partitionBy(row_id).orderBy(F.desc(F.round("raw", 9)), "term"))).filter(F.col("rank") <= k)
-    return ranked.join(norms, row_id).select(row_id, "rank", "term", (F.col("raw") / F.col("length")).alias("weight"))
+    weighed = tf.join(F.broadcast(vocabulary) if size <= BROADCAST_BYTES else vocabulary, "term").join(F.broadcast(n)).withColumn("raw", F.col("tf") * (F.log((1 + F.col("n_all")) / (1 + F.col("n_rows"))) + 1))
+    of_row = Window.partitionBy(row_id)
+    ranked = weighed.withColumn("length", F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(of_row))).withColumn("rank", F.row_number().over(of_row.orderBy(F.desc(F.round("raw", 9)), "term")))
+    return ranked.filter(F.col("rank") <= k).select(row_id, "rank", "term", (F.col("raw") / F.col("length")).alias("weight"))
 
 
 def rake(df: DataFrame, row_id: str, text: str, stop_words: list[str] | None = None, k: int = 15) -> DataFrame:
