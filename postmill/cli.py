@@ -41,6 +41,8 @@ def main(argv: list[str] | None = None) -> None:
     c.add_argument("--dropped", required=True)
     c.add_argument("--out", default="out")
     c.add_argument("-n", type=int, default=500)
+    c.add_argument("--min-p", type=float, default=0.2)
+    c.add_argument("--max-p", type=float, default=0.9)
     c = commands.add_parser("extract-skills")
     c.add_argument("--input", required=True)
     c.add_argument("--out", default="out")
@@ -68,7 +70,7 @@ def main(argv: list[str] | None = None) -> None:
     elif args.command == "export-uncertain":
         from .operators.labels import uncertain_dropped
 
-        io.write_csv(uncertain_dropped(io.read_any(spark, args.dropped), args.n, 0.0, 1.0), f"{args.out}/uncertain_dropped")
+        io.write_csv(uncertain_dropped(io.read_any(spark, args.dropped), args.n, args.min_p, args.max_p), f"{args.out}/uncertain_dropped")
     else:
         rows, metrics = pipeline.extract_skills(io.read_any(spark, args.input))
         io.write_csv(rows, f"{args.out}/skills")

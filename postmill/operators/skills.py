@@ -134,7 +134,7 @@ def combine(df: DataFrame, text: str, lists: list[str], most: int = 25) -> DataF
     df = df.withColumn("_items", marked)  # each phrase is judged once
     good, rest = (F.slice(F.transform(F.filter("_items", keep), lambda m: m["x"]), 1, most) for keep in (lambda m: m["good"], lambda m: ~m["good"]))
     df = df.withColumn("skills_grounded", good).withColumn("skills_ungrounded", rest).drop("_items")
-    flag = F.array_join("skills_grounded", ", ").contains("excel") & ~grounded_literal(norm(F.col(text)), "excel")
+    flag = F.lower(F.array_join("skills_grounded", ", ")).contains("excel") & ~grounded_literal(norm(F.col(text)), "excel")
     return df.withColumn("sanity_flag_excel_like", flag)
 
 

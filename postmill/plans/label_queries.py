@@ -55,9 +55,9 @@ def null_group_summary(spark, sf):
     return summary(rows)
 
 
-@query(f"SELECT doc_id, {P_SQL} AS p_rnd FROM documents WHERE {P_SQL} BETWEEN 0.2 AND 0.9 AND doc_id % 2 = 0 ORDER BY p_rnd DESC, doc_id LIMIT 50")
+@query(f"SELECT doc_id, {P_SQL} AS p_rnd FROM documents WHERE {P_SQL} BETWEEN 0.2 AND 0.9 AND NOT (({_W(_TITLE, POS)} OR {_W("lower(text)", POS_TEXT)}) AND NOT {_W(_TITLE, NEG)}) ORDER BY p_rnd DESC, doc_id LIMIT 50")
 def uncertain_dropped(spark, sf):
-    rows = _docs(spark, sf).filter("doc_id % 2 = 0").select("doc_id", "p_rnd")
+    rows = labels.weak_labels(_docs(spark, sf), F.col("title"), F.col("body"), POS, POS_TEXT, NEG).filter("label_weak = 0").select("doc_id", "p_rnd")
     return labels.uncertain_dropped(rows, 50, 0.2, 0.9, row_id="doc_id")
 
 

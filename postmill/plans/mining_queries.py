@@ -87,6 +87,19 @@ def skill_metrics(spark, sf):
     return skills.skill_metrics(_combined(spark, sf))
 
 
+_EXCEL = f"(SELECT {_grounded_sql('excellent')} AS g, {_grounded_sql('excel')} AS e FROM (SELECT {NORM.format(c='text')} || CASE doc_id % 3 WHEN 0 THEN ' excellent' WHEN 1 THEN ' excellent excel' ELSE '' END AS t FROM documents))"
+
+
+@query(f"SELECT count(*) AS n_rows, count_if(g) AS n_grounded, count_if(g AND NOT e) AS n_flagged, 100.0::DOUBLE * count_if(g AND NOT e) / count(*) AS pct_flagged FROM {_EXCEL} x")
+def skill_excel_flag(spark, sf):
+    """A grounded phrase that only holds the letters of excel, in texts with and without the word."""
+    k = F.col("doc_id") % 3
+    rows = table(spark, sf, "documents").select(F.concat("text", F.when(k == 0, " excellent").when(k == 1, " excellent excel").otherwise("")).alias("text"), F.array(F.lit("Excellent")).alias("a"))
+    found = skills.combine(rows, "text", ["a"])
+    m = skills.skill_metrics(found)
+    return m.select("n_rows", F.round(F.col("avg_grounded_skills") * F.col("n_rows")).cast("long").alias("n_grounded"), F.col("n_rows_flagged_excel_like").alias("n_flagged"), F.col("pct_rows_flagged_excel_like").alias("pct_flagged"))
+
+
 @query(f"SELECT doc_id, g AS n_grounded, 4 - g AS n_ungrounded FROM {_G} x")
 def combined_skills(spark, sf):
     return _combined(spark, sf).select("doc_id", F.size("skills_grounded").alias("n_grounded"), F.size("skills_ungrounded").alias("n_ungrounded"))
@@ -150,10 +163,10 @@ def topic_means(spark, sf):
     return topics.topic_means(_topic_rows(spark, sf).withColumn("p", F.when(F.col("doc_id") % 5 != 0, F.col("p"))), "topic_id", "p")
 
 
-@query("SELECT doc_id, md5(coalesce(text, '')) AS md5 FROM documents WHERE md5(coalesce(text, '')) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 3 = 0)")
+@query("SELECT doc_id, md5(coalesce(text, '')) AS md5 FROM documents WHERE md5(coalesce(text, '')) NOT IN (SELECT md5(text) FROM documents WHERE source = 'src1' AND text IS NOT NULL)")
 def embedding_cache_anti(spark, sf):
     docs = table(spark, sf, "documents")
-    cache = docs.filter("doc_id % 3 = 0").select(F.md5("text").alias("md5"))
+    cache = docs.filter("source = 'src1' AND text IS NOT NULL").select(F.md5("text").alias("md5"))
     return topics.missing_embeddings(docs, "text", cache).select("doc_id", "md5")
 
 
@@ -175,12 +188,24 @@ def fallback_labels(spark, sf):
     return _topics(spark, sf).select("topic_id", *[c.alias(n) for n, c in topics.fallback_label(F.col("topic_id"), F.col("top_words")).items()])
 
 
+_EXAMPLES = f"""(SELECT topic_id, list(CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || ' ...' ELSE text END ORDER BY place) AS examples
+  FROM (SELECT topic_id, text, row_number() OVER (PARTITION BY topic_id ORDER BY doc_id) AS place FROM {_J} j) WHERE place <= 5 GROUP BY topic_id)"""
+
+
+@query(f"SELECT topic_id, md5(top_words || chr(10) || coalesce(array_to_string(examples, chr(10)), '')) AS payload_md5, coalesce(len(examples), 0) AS n_examples FROM {_TABLE} t LEFT JOIN {_EXAMPLES} e USING (topic_id)")
+def prompt_payload_parts(spark, sf):
+    """The payloads' JSON taken apart again, as engines escape strings differently."""
+    parts = F.from_json("payload", "topic_id int, top_words string, examples array<string>").alias("p")
+    rows = topics.prompt_payloads(_topics(spark, sf), _topic_rows(spark, sf), "doc_id", "text").select("topic_id", parts)
+    return rows.select("topic_id", F.md5(F.concat_ws("\n", "p.top_words", F.array_join("p.examples", "\n"))).alias("payload_md5"), F.size("p.examples").alias("n_examples"))
+
+
 @query()
 def prompt_payloads(spark, sf):
     return topics.prompt_payloads(_topics(spark, sf), _topic_rows(spark, sf), "doc_id", "text")
 
 
-@query()
+@query(f"SELECT topic_id, top_words, n_docs, trim(string_split(top_words, ',')[1]) AS topic_label, 'Topic ' || topic_id || ': ' || top_words AS topic_label_long, 0.1::DOUBLE AS topic_label_confidence FROM {_TABLE} t")
 def labeled_topics(spark, sf):
     found = _topics(spark, sf)
     return topics.low_confidence(topics.label_topics(found, topics.prompt_payloads(found, _topic_rows(spark, sf), "doc_id", "text"), None))

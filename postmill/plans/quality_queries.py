@@ -109,6 +109,17 @@ def _flagged(spark, sf):
     return quality.bad_rows(before_rows(spark, sf), "row_id", CORE, "id", "job_url", "date_posted", "location", "domain")
 
 
+@query("""SELECT 'none' AS side, 0.0::DOUBLE AS parse_rate, 'all_unparseable' AS flag UNION ALL
+SELECT 'epoch', 100.0::DOUBLE, CASE WHEN min(y) = 1970 AND max(y) = 1970 THEN 'suspicious_all_1970' ELSE 'ok' END FROM (SELECT year(DATE '1970-01-01' + CAST(doc_id % 300 AS INTEGER)) AS y FROM documents)
+UNION ALL SELECT 'orders', 100.0::DOUBLE * count(o_orderdate) / count(*), CASE WHEN min(year(o_orderdate)) = 1970 AND max(year(o_orderdate)) = 1970 THEN 'suspicious_all_1970' ELSE 'ok' END FROM orders""")
+def dq_timeliness_flags(spark, sf):
+    docs = table(spark, sf, "documents")
+    epoch = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), (F.col("doc_id") % 300).cast("int")), "yyyy-MM-dd")
+    sides = {"none": (docs, F.lit("abc")), "epoch": (docs, epoch), "orders": (table(spark, sf, "orders"), F.date_format("o_orderdate", "yyyy-MM-dd"))}
+    rows = [quality.timeliness(df, quality.robust_date(c)).select(F.lit(n).alias("side"), "parse_rate", "flag") for n, (df, c) in sides.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query(f"SELECT row_id, bad FROM {_BAD} x")
 def dq_bad_rows(spark, sf):
     return _flagged(spark, sf).select("row_id", "bad")
@@ -129,9 +140,9 @@ def dq_issues_fixed(spark, sf):
     return quality.issues_fixed(before_rows(spark, sf), after_rows(spark, sf), CORE, "id")
 
 
-@query(f"SELECT count(*) AS n_after, count(b.id) AS n_both, 100.0::DOUBLE * count(b.id) / count(*) AS match_rate FROM (SELECT DISTINCT id FROM {_A} a WHERE id IS NOT NULL) k LEFT JOIN (SELECT DISTINCT id FROM {_B} b WHERE row_id % 2 = 0) b USING (id)")
+@query(f"SELECT count(*) AS n_after, count(b.id) AS n_both, 100.0::DOUBLE * count(b.id) / count(*) AS match_rate FROM (SELECT DISTINCT id FROM {_A} a WHERE id IS NOT NULL) k LEFT JOIN (SELECT DISTINCT id FROM {_B} b WHERE location IS NOT NULL) b USING (id)")
 def dq_alignment(spark, sf):
-    before, after = before_rows(spark, sf).filter("row_id % 2 = 0"), after_rows(spark, sf)
+    before, after = before_rows(spark, sf).filter("location IS NOT NULL"), after_rows(spark, sf)
     _, key = quality.alignment_key(before, after)
     return quality.key_match_rate(before, after, key)
 

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import dedupe
-from . import label_queries, mining_queries, quality_queries, text_queries
+from . import label_queries, mining_queries, quality_queries, source_queries, text_queries
 from .base import CLEAN, QUERIES, SQL, TOKENS, query, table
 
-_MODULES = (label_queries, mining_queries, quality_queries, text_queries)
+_MODULES = (label_queries, mining_queries, quality_queries, source_queries, text_queries)
 
 
 @query(f"""

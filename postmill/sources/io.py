@@ -122,14 +122,16 @@ def public_columns(df: DataFrame) -> DataFrame:
 
 
 def formatted(df: DataFrame, decimals: int = 8) -> DataFrame:
-    """Doubles as text with fixed decimals, arrays joined: for CSV only."""
+    """Doubles as text with fixed decimals, arrays of strings joined, other nested values as JSON: for CSV only."""
     out = {}
     for f in df.schema.fields:
         kind = f.dataType.simpleString()
         if kind in ("double", "float"):
-            out[f.name] = F.format_string(f"%.{decimals}f", F.col(f.name))
+            out[f.name] = F.when(F.col(f.name).isNotNull(), F.format_string(f"%.{decimals}f", F.col(f.name)))
         elif kind == "array<string>":
             out[f.name] = F.array_join(f.name, ", ")
+        elif kind.startswith(("array", "map", "struct")):
+            out[f.name] = F.to_json(f.name)
     return df.withColumns(out) if out else df
 
 
