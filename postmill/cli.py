@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import logging
 import time
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .config import Config
 from .plans import pipeline
@@ -46,6 +48,20 @@ def main(argv: list[str] | None = None) -> None:
     c = commands.add_parser("extract-skills")
     c.add_argument("--input", required=True)
     c.add_argument("--out", default="out")
+    c = commands.add_parser("run-topics")
+    c.add_argument("--input", required=True, help="scored rows with a vector column")
+    c.add_argument("--vector", default="embedding")
+    c.add_argument("--row-id", default="uid")
+    c.add_argument("--topics", type=int, default=50)
+    c.add_argument("--domain")
+    c.add_argument("--most", type=int, help="rows to sample at most")
+    c.add_argument("--out", default="out")
+    c = commands.add_parser("label-topics")
+    c.add_argument("--topics", required=True)
+    c.add_argument("--rows", required=True)
+    c.add_argument("--row-id", default="uid")
+    c.add_argument("--labeller", help="module:function from a JSON payload to an answer; none gives the fallback")
+    c.add_argument("--out", default="out")
     args = parser.parse_args(argv)
     logging.basicConfig(level=logging.INFO)
     began, spark, cfg = time.time(), _session(), Config.from_env()
@@ -71,6 +87,18 @@ def main(argv: list[str] | None = None) -> None:
         from .operators.labels import uncertain_dropped
 
         io.write_csv(uncertain_dropped(io.read_any(spark, args.dropped), args.n, args.min_p, args.max_p), f"{args.out}/uncertain_dropped")
+    elif args.command == "run-topics":
+        found = pipeline.run_topics(io.read_any(spark, args.input), cfg, args.vector, args.topics, args.domain, args.most, args.row_id)
+        pipeline.export_topics(found, args.out)
+    elif args.command == "label-topics":
+        call = None
+        if args.labeller:
+            module, _, name = args.labeller.partition(":")
+            call = getattr(importlib.import_module(module), name)
+        table = io.read_any(spark, args.topics).withColumn("topic_id", F.col("topic_id").cast("int"))
+        rows = io.read_any(spark, args.rows).withColumn("topic_id", F.col("topic_id").cast("int"))
+        for name, df in pipeline.label_topics(table, rows, cfg, call, args.row_id).items():
+            io.write_csv(df, f"{args.out}/{name}")
     else:
         rows, metrics = pipeline.extract_skills(io.read_any(spark, args.input))
         io.write_csv(rows, f"{args.out}/skills")

@@ -43,6 +43,7 @@ class Config:
     topic_cutoff: float = 0.5
     topic_use_label: bool = False
     topic_text_mode: str = "legacy"
+    embedding_model: str = ""
     # topic labels
     label_examples: int = 5
     label_chars: int = 400

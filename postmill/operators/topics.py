@@ -28,7 +28,8 @@ def fit_topics(df: DataFrame, vector: str, k: int, seed: int = 42, outlier_share
     low = vector_to_array("_low")
     distance = F.transform(centers, lambda c: F.aggregate(F.zip_with(c, low, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     rows = model.transform(wide).withColumn("_d", distance).withColumn("_near", F.array_min("_d"))
-    cut = rows.agg(F.percentile("_near", 1 - outlier_share).alias("_cut"))
+    # a rank within a millionth, in bounded memory: an exact one would hold all distances in one task
+    cut = rows.agg(F.percentile_approx("_near", 1 - outlier_share, 1_000_000).alias("_cut"))
     weights = F.transform("_d", lambda d: F.exp(F.col("_near") - d))
     rows = rows.join(F.broadcast(cut)).withColumn("_w", weights)
     probs = F.transform("_w", lambda w: w / F.aggregate("_w", F.lit(0.0), lambda s, x: s + x))
@@ -37,6 +38,19 @@ def fit_topics(df: DataFrame, vector: str, k: int, seed: int = 42, outlier_share
     return rows.drop("_v", "_low", "_c", "_d", "_near", "_cut", "_w")
 
 
+def project(df: DataFrame, vector: str, x: str = "x", y: str = "y") -> DataFrame:
+    """Adds the first two principal components of a vector column, as a map of the rows; null without a vector."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    wide = df.filter(F.col(vector).isNotNull()).withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
+    if wide.isEmpty():
+        return df.withColumn(x, F.lit(None).cast("double")).withColumn(y, F.lit(None).cast("double"))
+    low = vector_to_array("_low")
+    found = PCA(k=2, inputCol="_v", outputCol="_low").fit(wide).transform(wide).withColumn(x, low[0]).withColumn(y, low[1]).drop("_v", "_low")
+    return found.unionByName(df.filter(F.col(vector).isNull()), allowMissingColumns=True)
+
+
 def class_words(df: DataFrame, topic: str, text: str, stop_words: list[str], pattern: str = r"[a-z0-9]{2,}") -> DataFrame:
     """(topic, word, n) counts of words in each topic."""
     words = F.filter(F.regexp_extract_all(norm(F.col(text)), F.lit(pattern), F.lit(0)), lambda w: ~w.isin(*stop_words))

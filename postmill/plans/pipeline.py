@@ -113,16 +113,43 @@ def extract_skills(df: DataFrame, row_id: str = "uid", parse=None) -> tuple[Data
 
 
 def run_topics(df: DataFrame, cfg: Config, vector: str, k: int, domain: str | None = None, most: int | None = None, row_id: str = "uid") -> dict[str, DataFrame]:
-    """Filters, samples, clusters and describes rows that have a vector."""
+    """Filters, samples, clusters and describes rows that have a vector.
+
+    Null vectors leave before the fit; an error where no row is left. Tables: topics, rows, flat, projection, metadata.
+    """
     rows = labels.domain_filter(df, "domain", domain)
     loaded = rows
     body = text.topic_text(cfg.topic_text_mode, F.col("text_for_bertopic"), **{n: F.col(c) for n, c in (("title", "title"), ("domain", "domain"), ("seniority", "seniority"), ("function", "job_function"), ("description", "text_for_bertopic")) if c in df.columns})
     label = F.col("label_weak") if "label_weak" in df.columns else None
-    rows = rows.withColumn("topic_text", body).filter(labels.topic_filter(F.col("topic_text"), F.col("p_rnd"), label, cfg.topic_min_chars, cfg.topic_cutoff, cfg.topic_use_label))
+    rows = rows.withColumn("topic_text", body).filter(labels.topic_filter(F.col("topic_text"), F.col("p_rnd"), label, cfg.topic_min_chars, cfg.topic_cutoff, cfg.topic_use_label)).filter(F.col(vector).isNotNull())
     if rows.isEmpty():
         raise ValueError("no rows are left after the topic filter")
     sampled = topics.subsample(rows, row_id, most) if most else rows
     fitted = topics.fit_topics(sampled, vector, k)
     weights = topics.class_tfidf(topics.class_words(fitted, "topic_id", "topic_text", skills.fixed.STOP_WORDS))
     table = topics.topics_table(fitted, "topic_id", weights)
-    return {"topics": table, "rows": fitted, "flat": io.project(fitted, io.FLAT), "metadata": topics.run_metadata(loaded, rows, sampled, table, mode=cfg.mode, domain=domain or "")}
+    settings = {
+        "mode": cfg.mode, "domain": domain or "", "embedding_model": cfg.embedding_model, "bertopic_len_text_min": cfg.topic_min_chars,
+        "bertopic_p_rnd_cutoff": cfg.topic_cutoff, "bertopic_require_label_weak": cfg.topic_use_label,
+    }
+    return {
+        "topics": table, "rows": fitted.drop(vector), "flat": io.project(fitted, io.FLAT), "metadata": topics.run_metadata(loaded, rows, sampled, table, **settings),
+        "projection": topics.project(fitted, vector).select(row_id, "topic_id", "x", "y"),
+    }
+
+
+def export_topics(found: dict[str, DataFrame], out: str) -> dict[str, str]:
+    """Topics, rows, flat rows and projection as CSV; metadata as one JSON line."""
+    paths = {name: io.write_csv(io.public_columns(found[name].orderBy("topic_id") if name == "topics" else found[name]), f"{out}/{name}") for name in ("topics", "rows", "flat", "projection")}
+    return {**paths, "metadata": io.write_jsonl(found["metadata"], f"{out}/metadata", compressed=False)}
+
+
+def label_topics(table: DataFrame, rows: DataFrame, cfg: Config, call: Callable[[str], str] | None, row_id: str = "uid") -> dict[str, DataFrame]:
+    """Labels of topics by ``call`` (the fallback without one), the rows with their topic's label, and the labels to look at.
+
+    ``cfg`` gives how many examples of how many characters a payload holds.
+    """
+    payloads = topics.prompt_payloads(table, rows.withColumn("_text", F.coalesce(*[F.col(c) for c in ("topic_text", "text_for_bertopic") if c in rows.columns])), row_id, "_text", cfg.label_examples, cfg.label_chars)
+    labeled = topics.label_topics(table, payloads, call)
+    names = labeled.select("topic_id", "topic_label", "topic_label_long", "topic_label_confidence")
+    return {"topics_labeled": labeled, "flat_labeled": topics.with_labels(io.project(rows, io.FLAT), names), "low_confidence": topics.low_confidence(labeled)}

@@ -42,6 +42,8 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     for suffix in sorted(READERS, key=len, reverse=True):
         if path.rstrip("/").lower().endswith(suffix):
             return READERS[suffix](spark, path)
+    if _exists(spark, path) and (inside := _tabular(spark, path)):
+        return union_by_name([read_any(spark, p) for p in inside])
     raise ValueError(f"unsupported input: {path}")
 
 
