@@ -1,4 +1,4 @@
-"""tfidf_top_terms with its whole vocabulary; the registered SQL stops at 20,000 terms."""
+"""tfidf_top_terms with its whole vocabulary, by brute force."""
 
 import math
 import re
