@@ -1,102 +1,177 @@
-"""The text classifier: TF-IDF features, a linear model, sigmoid calibration over folds."""
+"""The text classifier: TF-IDF features, a linear model, sigmoid calibration over folds.
+
+Terms are counted once for all folds, by 64-bit hashes; a fold's vocabulary comes from the counts of the others. A text's
+counts of known terms are made once, too, and each fold's features are those counts times its own weights.
+"""
 
 from __future__ import annotations
 
+import json
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import RegexTokenizer
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import terms
+from ..plans.session import ship
 
 # fixed values: settings of the two modes
 MODES = {"fast": {"max_features": 50_000, "min_df": 5, "folds": 2}, "precise": {"max_features": 150_000, "min_df": 2, "folds": 3}}
+MAX_DF = 0.95
+#: Training rows to a partition where there are more than cores: each partition sends a gradient of all features in each iteration.
+ROWS_OF_PART = 50_000
 
 
-def _tokens(df: DataFrame) -> DataFrame:
-    """Words and pairs of ``_text``: the same for all folds, so they are made once."""
-    words = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False).transform(df)
-    return NGram(n=2, inputCol="_words", outputCol="_pairs").transform(words)
+def _hashed(df: DataFrame) -> DataFrame:
+    """``_words``: the hashes of the words of ``_text``."""
+    words = RegexTokenizer(inputCol="_text", outputCol="_list", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False).transform(df)
+    return words.withColumn("_words", F.transform("_list", lambda w: F.xxhash64(w))).drop("_list", "_text")
 
 
-def _base(kind: str, mode: str, iterations: int) -> Pipeline:
-    m = MODES[mode]
-    half = m["max_features"] // 2
-    stages = []
-    for c in ("_words", "_pairs"):
-        stages += [CountVectorizer(inputCol=c, outputCol=f"{c}_n", vocabSize=half, minDF=m["min_df"], maxDF=0.95), IDF(inputCol=f"{c}_n", outputCol=f"{c}_w")]
-    stages.append(VectorAssembler(inputCols=["_words_w", "_pairs_w"], outputCol="_features"))
+def _base(kind: str, mode: str, iterations: int) -> tuple[dict[str, int], LogisticRegression | LinearSVC]:
     common = {"featuresCol": "_features", "labelCol": "_label", "weightCol": "_weight", "maxIter": iterations}
-    stages.append(LogisticRegression(regParam=1e-3, **common) if kind == "logreg" else LinearSVC(regParam=1e-3, **common))
-    return Pipeline(stages=stages)
-
-
-def _margin(model: PipelineModel, df: DataFrame) -> DataFrame:
-    return model.transform(df).withColumn("_margin", F.get(vector_to_array("rawPrediction"), F.lit(1)))
+    return MODES[mode], LogisticRegression(regParam=1e-3, **common) if kind == "logreg" else LinearSVC(regParam=1e-3, **common)
+
+
+def _running(sizes: pa.Table, by: str, order: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a histogram in order, and how many there are up to each."""
+    sizes = sizes.sort_by([(by, order)])
+    return sizes[by].to_numpy(), sizes["size"].to_numpy().cumsum()
+
+
+def _vocabulary(counted: DataFrame, fold: int, folds: int, rows: int, most: int, min_df: int) -> tuple[np.ndarray, np.ndarray]:
+    """Terms of a fold's training rows, and the inverse document frequency of each.
+
+    Of words and of pairs the ``most`` frequent, those of a count that only some may have by their hashes. The cut is found
+    in histograms, so no task has to sort all terms.
+    """
+    others = [k for k in range(folds) if k != fold]
+    total = lambda c: sum((F.col(f"{c}{k}") for k in others), F.lit(0))
+    kept = counted.select("term", F.col("term").bitwiseAND(F.lit(1)).alias("kind"), total("n").alias("n"), total("rows").alias("rows"))
+    kept = kept.filter((F.col("rows") >= min_df) & (F.col("rows") <= MAX_DF * rows))
+    sizes = kept.groupBy("kind", "n").agg(F.count(F.lit(1)).alias("size")).toArrow()
+    wanted, ties = F.lit(False), {}
+    for kind in (0, 1):
+        counts, upto = _running(sizes.filter(pc.field("kind") == kind), "n", "descending")
+        if not len(upto) or upto[-1] <= most:
+            wanted |= F.col("kind") == kind
+            continue
+        at = int(np.searchsorted(upto, most, "right"))
+        cut, rest = int(counts[at]), most - int(upto[at - 1] if at else 0)
+        wanted |= (F.col("kind") == kind) & (F.col("n") > cut)
+        if rest:
+            head = F.shiftright("term", 48)
+            tied = kept.filter((F.col("kind") == kind) & (F.col("n") == cut)).groupBy(head.alias("head")).agg(F.count(F.lit(1)).alias("size"))
+            heads, upto = _running(tied.toArrow(), "head", "ascending")
+            last = int(heads[np.searchsorted(upto, rest)])
+            wanted |= (F.col("kind") == kind) & (F.col("n") == cut) & (head <= last)
+            ties[kind] = cut, rest
+    found = kept.filter(wanted).toArrow()
+    term, kind, n, df = (found[c].to_numpy() for c in ("term", "kind", "n", "rows"))
+    for k, (cut, rest) in ties.items():
+        tied = np.flatnonzero((kind == k) & (n == cut))
+        over = tied[np.argsort(term[tied])][rest:]
+        term, kind, n, df = (np.delete(x, over) for x in (term, kind, n, df))
+    return term, np.log((rows + 1) / (df + 1))
 
 
 @dataclass
 class CalibratedClassifier:
-    """The mean of the folds' calibrated probabilities."""
+    """The mean of the folds' calibrated probabilities.
 
-    parts: list[tuple[PipelineModel, float, float]]
+    names: hashes of the terms, ascending. weights: of one occurrence, by term and fold. lines: slope and intercept of each
+    fold's curve.
+    """
 
-    def score(self, df: DataFrame, text: str, name: str = "p_rnd") -> DataFrame:
-        out, cols = _tokens(df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))), df.columns
-        kept = list(cols)
-        for i, (model, slope, intercept) in enumerate(self.parts):
-            out = _margin(model, out).withColumn(f"_p{i}", 1 / (1 + F.exp(-(F.col("_margin") * slope + intercept))))
-            kept.append(f"_p{i}")
-            out = out.select(*kept, "_words", "_pairs")
-        mean = sum((F.col(f"_p{i}") for i in range(len(self.parts))), F.lit(0.0)) / max(1, len(self.parts))
-        return out.withColumn(name, mean).select(*cols, name)
+    names: np.ndarray
+    weights: np.ndarray
+    intercepts: list[float]
+    lines: list[list[float]]
 
-    def save(self, path: str) -> None:
-        import json
+    def score(self, df: DataFrame, text: str, name: str = "p_rnd") -> DataFrame:
+        spark = ship(df.sparkSession)
+        known, intercepts, lines = spark.sparkContext.broadcast((terms.Lookup(self.names), self.weights)), self.intercepts, self.lines
 
-        for i, (model, _, _) in enumerate(self.parts):
-            model.write().overwrite().save(f"{path}/part-{i}")
-        self._session().createDataFrame([(json.dumps([[s, b] for _, s, b in self.parts]),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/calibration")
+        def probability(words: pa.Array) -> pa.Array:
+            return terms.probabilities(words, *known.value, intercepts, lines)
 
-    @staticmethod
-    def _session():
-        from pyspark.sql import SparkSession
+        out = _hashed(df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))))
+        return out.withColumn(name, F.arrow_udf(probability, "double")("_words")).select(*(c for c in df.columns if c != name), name)
 
-        return SparkSession.active()
+    def save(self, path: str) -> None:
+        spark = SparkSession.active()
+        spark.createDataFrame(pa.table({"term": self.names, "weights": self.weights.tolist()})).write.mode("overwrite").parquet(f"{path}/terms")
+        spark.createDataFrame([(json.dumps([self.intercepts, self.lines]),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/calibration")
 
     @classmethod
     def load(cls, path: str) -> CalibratedClassifier:
-        import json
-
-        lines = json.loads(cls._session().read.text(f"{path}/calibration").first()[0])
-        return cls([(PipelineModel.load(f"{path}/part-{i}"), s, b) for i, (s, b) in enumerate(lines)])
+        spark = SparkSession.active()
+        intercepts, lines = json.loads(spark.read.text(f"{path}/calibration").first()[0])
+        rows = spark.read.parquet(f"{path}/terms").orderBy("term").toArrow().to_pydict()
+        return cls(np.array(rows["term"], np.int64), np.array(rows["weights"], float).reshape(-1, len(lines)), intercepts, lines)
 
 
 def train(df: DataFrame, text: str, label: str, row_id: str, kind: str = "logreg", mode: str = "precise", iterations: int = 100) -> CalibratedClassifier:
     """Fits a base model on each fold's rest, and a one-dimensional logistic curve on the fold's margins."""
-    folds = MODES[mode]["folds"]
-    rows = df.select(F.coalesce(F.col(text), F.lit("")).alias("_text"), F.col(label).cast("double").alias("_label"), F.pmod(F.xxhash64(row_id), F.lit(folds)).alias("_fold"))
-    counts = {r["_label"]: r["n"] for r in rows.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n = sum(counts.values())
-    weight = F.lit(1.0)
-    for value, count in counts.items():
-        weight = F.when(F.col("_label") == value, n / (len(counts) * count)).otherwise(weight)
+    m, base = _base(kind, mode, iterations)
+    folds = m["folds"]
+    spark = ship(df.sparkSession)
+    rows = df.select(F.coalesce(F.col(text), F.lit("")).alias("_text"), F.col(label).cast("double").alias("_label"), F.pmod(F.xxhash64(row_id), F.lit(folds)).cast("int").alias("_fold"))
     # texts are the weight of the work: spread over all cores, whatever the join before left
-    spark = rows.sparkSession
     wide = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = _tokens(rows.withColumn("_weight", weight).repartition(wide)).drop("_text").persist()
+    rows = _hashed(rows.repartition(wide)).persist()
+    sizes = {(r["_label"], r["_fold"]): r["n"] for r in rows.groupBy("_label", "_fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n, labels = sum(sizes.values()), {x for x, _ in sizes}
+    weight = F.lit(1.0)
+    for value in labels:
+        weight = F.when(F.col("_label") == value, n / (len(labels) * sum(v for (x, _), v in sizes.items() if x == value))).otherwise(weight)
+
+    sums = [f"{c}{k}" for k in range(folds) for c in ("n", "rows")]
+    counted = rows.select("_words", "_fold").mapInArrow(terms.counter(folds), "term long, " + ", ".join(f"{c} long" for c in sums))
+    counted = counted.groupBy("term").agg(*(F.sum(c).alias(c) for c in sums)).filter(sum((F.col(f"rows{k}") for k in range(folds)), F.lit(0)) >= m["min_df"]).persist()
+    counted.count()
+    with ThreadPoolExecutor(folds) as pool:
+        known = list(pool.map(lambda k: _vocabulary(counted, k, folds, sum(v for (_, f), v in sizes.items() if f != k), m["max_features"] // 2, m["min_df"]), range(folds)))
+    counted.unpersist()
+    names = np.unique(np.concatenate([x for x, _ in known]))
+    if not len(names):
+        raise ValueError(f"no term is in {m['min_df']} training rows")
+    factors = np.zeros((len(names), folds))
+    for k, (found, idf) in enumerate(known):
+        factors[np.searchsorted(names, found), k] = idf
+
+    lookup, scales = spark.sparkContext.broadcast(terms.Lookup(names)), spark.sparkContext.broadcast(factors)
+    parts = max(spark.sparkContext.defaultParallelism, -(-n // ROWS_OF_PART))
+    found = rows.withColumn("_weight", weight).mapInArrow(terms.finder(lookup), "_fold int, _label double, _weight double, _places array<int>, _counts array<int>").persist()
+    found.count()
+    rows.unpersist()
+    schema = T.StructType([T.StructField("_label", T.DoubleType()), T.StructField("_weight", T.DoubleType()), T.StructField("_features", VectorUDT())])
 
-    def fit(fold: int) -> tuple[PipelineModel, float, float]:
-        model = _base(kind, mode, iterations).fit(rows.filter(F.col("_fold") != fold))
-        margins = _margin(model, rows.filter(F.col("_fold") == fold))
-        one = margins.select(array_to_vector(F.array("_margin")).alias("_features"), "_label")
-        curve = LogisticRegression(featuresCol="_features", labelCol="_label", regParam=1e-6).fit(one)
-        return model, float(curve.coefficients[0]), float(curve.intercept)
+    def fit(fold: int) -> tuple[np.ndarray, float]:
+        model = base.copy().fit(found.filter(F.col("_fold") != fold).coalesce(parts).mapInArrow(terms.vectors(scales, fold), schema))
+        return model.coefficients.toArray() * factors[:, fold], float(model.intercept)
 
     with ThreadPoolExecutor(folds) as pool:  # the folds' jobs are small and wait for the driver: they share the executors
-        parts = list(pool.map(fit, range(folds)))
-    rows.unpersist()
-    return CalibratedClassifier(parts)
+        models = list(pool.map(fit, range(folds)))
+    weights, intercepts = np.stack([w for w, _ in models], axis=1), [b for _, b in models]
+    margins = found.mapInArrow(terms.margins(spark.sparkContext.broadcast(weights), intercepts), "_fold int, _label double, _margin double").coalesce(parts).persist()
+
+    def line(fold: int) -> list[float]:
+        one = margins.filter(F.col("_fold") == fold).select(array_to_vector(F.array("_margin")).alias("_features"), "_label")
+        curve = LogisticRegression(featuresCol="_features", labelCol="_label", regParam=1e-6).fit(one)
+        return [float(curve.coefficients[0]), float(curve.intercept)]
+
+    with ThreadPoolExecutor(folds) as pool:
+        lines = list(pool.map(line, range(folds)))
+    margins.unpersist()
+    found.unpersist()
+    return CalibratedClassifier(names, weights, intercepts, lines)
