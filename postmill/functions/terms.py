@@ -62,30 +62,34 @@ def counter(folds: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Reco
 
 
 class Lookup:
-    """The places of terms in a sorted list, by open addressing with linear probes."""
+    """The places of terms in a sorted list, by open addressing with linear probes; the table is made where it is first used."""
 
     def __init__(self, terms: np.ndarray):
-        self.terms = terms
+        self.terms, self.places = terms, None
         bits = max(4, int(4 * len(terms)).bit_length())
         self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
-        self.places = np.full(self.last + 1, -1, np.int32)
-        left = np.arange(len(terms), dtype=np.int32)
-        slot = self._home(terms)
-        while len(left):
-            free = np.flatnonzero(self.places[slot] < 0)
-            self.places[slot[free]] = left[free]  # of those that want one slot, the last gets it
-            wait = self.places[slot] != left
-            left, slot = left[wait], (slot[wait] + 1) & self.last
-        self.keys = np.where(self.places >= 0, terms[self.places], 0)
 
     def __reduce__(self):
         return Lookup, (self.terms,)
 
+    def _fill(self) -> None:
+        places = np.full(self.last + 1, -1, np.int32)
+        left = np.arange(len(self.terms), dtype=np.int32)
+        slot = self._home(self.terms)
+        while len(left):
+            free = np.flatnonzero(places[slot] < 0)
+            places[slot[free]] = left[free]  # of those that want one slot, the last gets it
+            wait = places[slot] != left
+            left, slot = left[wait], (slot[wait] + 1) & self.last
+        self.keys, self.places = np.where(places >= 0, self.terms[places], 0), places
+
     def _home(self, h: np.ndarray) -> np.ndarray:
         return (_mixed(h.view(np.uint64)) >> self.shift).astype(np.int64)
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         """Of each term its place, or -1."""
+        if self.places is None:
+            self._fill()
         slot = self._home(h)
         out = self.places[slot]
         on = np.flatnonzero((out >= 0) & (self.keys[slot] != h))
@@ -105,27 +109,53 @@ def _lists(values: np.ndarray, row: np.ndarray, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), pa.array(values))
 
 
+def _binaries(values: np.ndarray, row: np.ndarray, n: int) -> pa.Array:
+    at = np.searchsorted(row, np.arange(n + 1)).astype(np.int32) * np.int32(4)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values, np.int32))])
+
+
 def finder(lookup) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Replaces ``_words`` by the places of known terms, ascending, and their counts. lookup: a broadcast of a Lookup."""
+    """Replaces ``_words`` by the places of known terms, ascending, and their counts, as 32-bit integers in binaries.
+
+    Rows of one fold stand together. lookup: a broadcast of a Lookup.
+    """
 
     def find(batches):
         size = len(lookup.value.terms)
         for batch in batches:
+            batch = batch.take(pa.array(np.argsort(batch.column("_fold").to_numpy(), kind="stable")))
             term, row = of_rows(batch.column("_words"))
             place = lookup.value(term)
             known = place >= 0
             code, count = np.unique(row[known].astype(np.int64) * size + place[known], return_counts=True)
             row = code // size
             kept = [batch.column(c) for c in ("_fold", "_label", "_weight")]
-            columns = [*kept, _lists((code - row * size).astype(np.int32), row, batch.num_rows), _lists(count.astype(np.int32), row, batch.num_rows)]
+            columns = [*kept, _binaries(code - row * size, row, batch.num_rows), _binaries(count, row, batch.num_rows)]
             yield pa.RecordBatch.from_arrays(columns, names=["_fold", "_label", "_weight", "_places", "_counts"])
 
     return find
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    places, counts = batch.column("_places"), batch.column("_counts")
-    return places.flatten().to_numpy(), counts.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), np.diff(places.offsets.to_numpy()))
+    """Places and counts of a batch, and where each row's begin."""
+    n, found = batch.num_rows, []
+    for c in ("_places", "_counts"):
+        column = batch.column(c)
+        _, at, data = column.buffers()
+        at = np.frombuffer(at, np.int32)[column.offset : column.offset + n + 1] // 4
+        found.append(np.frombuffer(data, np.int32)[at[0] : at[-1]] if data is not None else np.zeros(0, np.int32))
+    return found[0].astype(np.intp), found[1].astype(float), at - at[0]
+
+
+def _runs(wanted: np.ndarray) -> Iterator[tuple[int, int]]:
+    """From and to of each run of True."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], wanted, [False]])))
+    return zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)
+
+
+def _sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of the stretches of x between the places of at; some may be empty."""
+    return np.where(at[1:] > at[:-1], np.add.reduceat(np.append(x, 0.0), at[:-1]), 0.0)
 
 
 #: Spark's vectors as they stand in rows.
@@ -138,25 +168,98 @@ def vectors(scales, fold: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[
     def scaled(batches):
         scale = np.ascontiguousarray(scales.value[:, fold])
         for batch in batches:
-            place, count, row = _flat(batch)
-            factor = scale[place]
-            kept = factor > 0
-            place, value, row = place[kept], count[kept] * factor[kept], row[kept]
+            place, count, at = _flat(batch)
             n = batch.num_rows
+            row, factor = np.repeat(np.arange(n), np.diff(at)), scale[place]
+            kept = factor > 0
+            place, value, row = place[kept].astype(np.int32), count[kept] * factor[kept], row[kept]
             column = pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, len(scale), np.int32)), _lists(place, row, n), _lists(value, row, n)], fields=list(VECTOR))
             yield pa.RecordBatch.from_arrays([batch.column("_label"), batch.column("_weight"), column], names=["_label", "_weight", "_features"])
 
     return scaled
 
 
+#: Sums over rows, by model and piece of the features.
+SUMS = "model int, piece int, loss double, slope double, features binary"
+PIECES = 8
+
+
+def _handed(sums: np.ndarray, loss: np.ndarray, slope: np.ndarray) -> pa.RecordBatch:
+    rows = [(k, j, loss[k] * (j == 0), slope[k] * (j == 0), part.tobytes()) for k, one in enumerate(sums) for j, part in enumerate(np.array_split(one, PIECES))]
+    kinds = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["model", "piece", "loss", "slope", "features"])
+
+
+def moments(size: int, folds: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums of weighted counts (model k) and of their squares (model folds + k) of the rows of each fold k, in ``loss`` and ``slope`` those of weights and of their squares."""
+
+    def of(batches):
+        sums, weights, squares = np.zeros((2 * folds, size)), np.zeros(2 * folds), np.zeros(2 * folds)
+        for batch in batches:
+            place, count, at = _flat(batch)
+            weight, fold = batch.column("_weight").to_numpy(), batch.column("_fold").to_numpy()
+            for k in range(folds):
+                for a, b in _runs(fold == k):
+                    p, c = place[at[a] : at[b]], count[at[a] : at[b]]
+                    x = np.repeat(weight[a:b], np.diff(at[a : b + 1])) * c
+                    sums[k] += np.bincount(p, x, size)
+                    sums[folds + k] += np.bincount(p, x * c, size)
+                    weights[k] += weight[a:b].sum()
+                    squares[k] += (weight[a:b] ** 2).sum()
+        yield _handed(sums, weights, squares)
+
+    return of
+
+
+def gradients(points) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums of logistic losses and of their gradients over the rows outside each model's fold.
+
+    points: a broadcast of folds, one row of weights of counts for each, and intercepts.
+    """
+
+    def of(batches):
+        folds, weights, intercepts = points.value
+        size = weights.shape[1]
+        sums, loss, slope = np.zeros(weights.shape), np.zeros(len(folds)), np.zeros(len(folds))
+        for batch in batches:
+            place, count, at = _flat(batch)
+            fold, label, weight = (batch.column(c).to_numpy() for c in ("_fold", "_label", "_weight"))
+            for m, k in enumerate(folds):
+                for a, b in _runs(fold != k):
+                    p, c = place[at[a] : at[b]], count[at[a] : at[b]]
+                    x = weights[m].take(p)
+                    x *= c
+                    margin = np.where(label[a:b] > 0, 1.0, -1.0) * (_sums(x, at[a : b + 1] - at[a]) + intercepts[m])
+                    loss[m] += weight[a:b] @ np.logaddexp(0, -margin)
+                    rest = np.where(label[a:b] > 0, -1.0, 1.0) * weight[a:b] * np.exp(-np.logaddexp(0, margin))
+                    slope[m] += rest.sum()
+                    sums[m] += np.bincount(p, np.repeat(rest, np.diff(at[a : b + 1])) * c, size)
+        yield _handed(sums, loss, slope)
+
+    return of
+
+
+def added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of each model and piece."""
+    out: dict[tuple[int, int], list] = {}
+    for batch in batches:
+        for r in batch.to_pylist():
+            part = np.frombuffer(r["features"])
+            loss, slope, sums = out.get((r["model"], r["piece"]), (0.0, 0.0, 0.0))
+            out[r["model"], r["piece"]] = [loss + r["loss"], slope + r["slope"], sums + part]
+    if out:
+        columns = [[k for k, _ in out], [j for _, j in out], *([x[i] for x in out.values()] for i in (0, 1)), [x[2].tobytes() for x in out.values()]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.binary()], strict=True)], names=["model", "piece", "loss", "slope", "features"])
+
+
 def margins(weights, intercepts: list[float]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Each row's margin by the model of its fold. weights: a broadcast, by place and fold."""
 
     def margin(batches):
         for batch in batches:
-            place, count, row = _flat(batch)
+            place, count, at = _flat(batch)
             fold = batch.column("_fold").to_numpy()
-            sums = np.bincount(row, count * weights.value[place, fold[row]], batch.num_rows)
+            sums = _sums(count * weights.value[place, np.repeat(fold, np.diff(at))], at)
             yield pa.RecordBatch.from_arrays([batch.column("_fold"), batch.column("_label"), pa.array(sums + np.array(intercepts)[fold])], names=["_fold", "_label", "_margin"])
 
     return margin

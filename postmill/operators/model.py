@@ -7,8 +7,10 @@ counts of known terms are made once, too, and each fold's features are those cou
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,10 @@ MODES = {"fast": {"max_features": 50_000, "min_df": 5, "folds": 2}, "precise": {
 MAX_DF = 0.95
 #: Training rows to a partition where there are more than cores: each partition sends a gradient of all features in each iteration.
 ROWS_OF_PART = 50_000
+#: Bytes of all partitions' gradients that may come to the driver at once; beyond, they are added up by piece before.
+SENT = 64 << 20
+#: Of the linear models: the weight of the squares, and the tolerance.
+PENALTY, TOLERANCE = 1e-3, 1e-6
 
 
 def _hashed(df: DataFrame) -> DataFrame:
@@ -37,9 +43,121 @@ def _hashed(df: DataFrame) -> DataFrame:
     return words.withColumn("_words", F.transform("_list", lambda w: F.xxhash64(w))).drop("_list", "_text")
 
 
-def _base(kind: str, mode: str, iterations: int) -> tuple[dict[str, int], LogisticRegression | LinearSVC]:
-    common = {"featuresCol": "_features", "labelCol": "_label", "weightCol": "_weight", "maxIter": iterations}
-    return MODES[mode], LogisticRegression(regParam=1e-3, **common) if kind == "logreg" else LinearSVC(regParam=1e-3, **common)
+def _base(kind: str, mode: str, iterations: int) -> tuple[dict[str, int], Callable[..., tuple[np.ndarray, list[float]]]]:
+    return MODES[mode], partial(_logistic if kind == "logreg" else _hinge, iterations=iterations)
+
+
+def _summed(found: DataFrame, parts: int, function, models: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sums of all partitions, of which there are ``parts``: by model and feature, and the two numbers of each model."""
+    rows = found.mapInArrow(function, terms.SUMS)
+    if parts * models * size * 8 > SENT:
+        rows = rows.repartition(models * terms.PIECES, "model", "piece").mapInArrow(terms.added, terms.SUMS)
+    sums, loss, slope = np.zeros((models, size)), np.zeros(models), np.zeros(models)
+    pieces = [np.array_split(one, terms.PIECES) for one in sums]  # views
+    got = rows.toArrow()
+    for m, j, x, y, part in zip(*(got[c] for c in ("model", "piece", "loss", "slope", "features")), strict=True):
+        m = m.as_py()
+        pieces[m][j.as_py()] += np.frombuffer(part.as_buffer())
+        loss[m] += x.as_py()
+        slope[m] += y.as_py()
+    return sums, loss, slope
+
+
+def _minimised(x: np.ndarray, iterations: int, memory: int = 10):
+    """L-BFGS with a weak Wolfe search. Yields points and is sent the value and gradient at each; returns the last point.
+
+    It ends as Spark's models do: by the gradient, or when the value has hardly changed against the largest of the last 20.
+    Steps are remembered in single precision, which only bends the ways that are tried.
+    """
+    value, grad = yield x
+    first, values, pairs = value, [value], []
+    for _ in range(iterations):
+        if np.linalg.norm(grad) <= max(TOLERANCE * abs(value), 1e-8):
+            break
+        way, kept = -grad, []
+        for s, y, rho in reversed(pairs):
+            kept.append(rho * (s @ way))
+            way -= kept[-1] * y
+        if pairs:
+            way *= 1 / (pairs[-1][2] * np.dot(pairs[-1][1].astype(float), pairs[-1][1]))
+        for (s, y, rho), alpha in zip(pairs, reversed(kept), strict=True):
+            way += (alpha - rho * (y @ way)) * s
+        down = grad @ way
+        step, low, high = 1.0 if pairs else min(1.0, 1 / np.linalg.norm(grad)), 0.0, np.inf
+        for _ in range(40):
+            point = x + step * way
+            v, g = yield point
+            if not v <= value + 1e-4 * step * down:
+                high = step
+            elif g @ way < 0.9 * down:
+                low = step
+            else:
+                break
+            step = 2 * step if np.isinf(high) else (low + high) / 2
+        else:
+            if not v < value:  # no step leads further down: as low as the numbers tell
+                break
+        s, y = (point - x).astype(np.float32), (g - grad).astype(np.float32)
+        x, value, grad = point, v, g
+        if (bend := np.dot(s.astype(float), y)) > 1e-12 * np.dot(y.astype(float), y):
+            pairs = [*pairs, (s, y, 1 / bend)][-memory:]
+        if max(values[-20:]) - value <= TOLERANCE * abs(first):
+            break
+        values.append(value)
+    return x
+
+
+def _logistic(found: DataFrame, parts: int, factors: np.ndarray, iterations: int) -> tuple[np.ndarray, list[float]]:
+    """A logistic model for each fold, of features scaled to a deviation of 1; all folds take each step in the same pass."""
+    spark, (size, folds) = found.sparkSession, factors.shape
+    sums, weights, squares = _summed(found, parts, terms.moments(size, folds), 2 * folds, size)
+    total, mean, scale = [], [], []
+    for k in range(folds):
+        others = [g for g in range(folds) if g != k]
+        w, factor = weights[others].sum(), factors[:, k]
+        mu = sums[others].sum(axis=0) / w
+        variance = (sums[[folds + g for g in others]].sum(axis=0) - w * mu * mu) / max(w - squares[others].sum() / w, 1e-300)
+        deviation = np.sqrt(np.maximum(variance, 0)) * factor
+        scale.append(np.where(deviation > 0, factor / np.where(deviation > 0, deviation, 1), 0))  # of a count
+        mean.append(mu * scale[-1])
+        total.append(w)
+    del sums
+
+    def plain(k: int, x: np.ndarray) -> tuple[np.ndarray, float]:
+        """Weights of counts and the intercept, from those of centred features."""
+        return x[:-1] * scale[k], float(x[-1] - mean[k] @ x[:-1])
+
+    searches = {k: _minimised(np.zeros(size + 1), iterations) for k in range(folds)}
+    at = {k: next(search) for k, search in searches.items()}
+    done: dict[int, tuple[np.ndarray, float]] = {}
+    while at:
+        here = list(at)
+        points = [plain(k, at[k]) for k in here]
+        sent = spark.sparkContext.broadcast((here, np.stack([w for w, _ in points]), [b for _, b in points]))
+        grads, losses, slopes = _summed(found, parts, terms.gradients(sent), len(here), size)
+        sent.destroy()
+        for m, k in enumerate(here):
+            x, slope = at[k], slopes[m] / total[k]
+            grad = np.append(grads[m] * scale[k] / total[k] - mean[k] * slope + PENALTY * x[:-1], slope)
+            try:
+                at[k] = searches[k].send((losses[m] / total[k] + PENALTY / 2 * (x[:-1] @ x[:-1]), grad))
+            except StopIteration as end:
+                done[k] = plain(k, end.value)
+                del at[k]
+    return np.stack([done[k][0] for k in range(folds)], axis=1), [done[k][1] for k in range(folds)]
+
+
+def _hinge(found: DataFrame, parts: int, factors: np.ndarray, iterations: int) -> tuple[np.ndarray, list[float]]:
+    """A linear support vector machine for each fold."""
+    scales = found.sparkSession.sparkContext.broadcast(factors)
+    schema = T.StructType([T.StructField("_label", T.DoubleType()), T.StructField("_weight", T.DoubleType()), T.StructField("_features", VectorUDT())])
+    weights, intercepts = [], []
+    for k in range(factors.shape[1]):
+        base = LinearSVC(regParam=PENALTY, featuresCol="_features", labelCol="_label", weightCol="_weight", maxIter=iterations)
+        model = base.fit(found.filter(F.col("_fold") != k).mapInArrow(terms.vectors(scales, k), schema))
+        weights.append(model.coefficients.toArray() * factors[:, k])
+        intercepts.append(float(model.intercept))
+    return np.stack(weights, axis=1), intercepts
 
 
 def _running(sizes: pa.Table, by: str, order: str) -> tuple[np.ndarray, np.ndarray]:
@@ -131,6 +249,8 @@ def train(df: DataFrame, text: str, label: str, row_id: str, kind: str = "logreg
     rows = _hashed(rows.repartition(wide)).persist()
     sizes = {(r["_label"], r["_fold"]): r["n"] for r in rows.groupBy("_label", "_fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     n, labels = sum(sizes.values()), {x for x, _ in sizes}
+    if not labels <= {0.0, 1.0}:
+        raise ValueError(f"{label} must be 0 or 1")
     weight = F.lit(1.0)
     for value in labels:
         weight = F.when(F.col("_label") == value, n / (len(labels) * sum(v for (x, _), v in sizes.items() if x == value))).otherwise(weight)
@@ -145,24 +265,17 @@ def train(df: DataFrame, text: str, label: str, row_id: str, kind: str = "logreg
     names = np.unique(np.concatenate([x for x, _ in known]))
     if not len(names):
         raise ValueError(f"no term is in {m['min_df']} training rows")
+    pa.default_memory_pool().release_unused()
     factors = np.zeros((len(names), folds))
     for k, (found, idf) in enumerate(known):
         factors[np.searchsorted(names, found), k] = idf
 
-    lookup, scales = spark.sparkContext.broadcast(terms.Lookup(names)), spark.sparkContext.broadcast(factors)
+    lookup = spark.sparkContext.broadcast(terms.Lookup(names))
     parts = max(spark.sparkContext.defaultParallelism, -(-n // ROWS_OF_PART))
-    found = rows.withColumn("_weight", weight).mapInArrow(terms.finder(lookup), "_fold int, _label double, _weight double, _places array<int>, _counts array<int>").persist()
+    found = rows.withColumn("_weight", weight).mapInArrow(terms.finder(lookup), "_fold int, _label double, _weight double, _places binary, _counts binary").persist()
     found.count()
     rows.unpersist()
-    schema = T.StructType([T.StructField("_label", T.DoubleType()), T.StructField("_weight", T.DoubleType()), T.StructField("_features", VectorUDT())])
-
-    def fit(fold: int) -> tuple[np.ndarray, float]:
-        model = base.copy().fit(found.filter(F.col("_fold") != fold).coalesce(parts).mapInArrow(terms.vectors(scales, fold), schema))
-        return model.coefficients.toArray() * factors[:, fold], float(model.intercept)
-
-    with ThreadPoolExecutor(folds) as pool:  # the folds' jobs are small and wait for the driver: they share the executors
-        models = list(pool.map(fit, range(folds)))
-    weights, intercepts = np.stack([w for w, _ in models], axis=1), [b for _, b in models]
+    weights, intercepts = base(found.coalesce(parts), parts, factors)
     margins = found.mapInArrow(terms.margins(spark.sparkContext.broadcast(weights), intercepts), "_fold int, _label double, _margin double").coalesce(parts).persist()
 
     def line(fold: int) -> list[float]:

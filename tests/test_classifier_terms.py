@@ -67,3 +67,55 @@ def test_saved_classifier_scores_the_same(spark, tmp_path):
     first = {r["id"]: r["p_rnd"] for r in fitted.score(docs, "t").collect()}
     assert first == {r["id"]: r["p_rnd"] for r in model.CalibratedClassifier.load(f"file://{tmp_path}/m").score(docs, "t").collect()}
     assert first[0] == first[1] and first[3] > first[1] > first[2]
+
+
+def _rows(n=240):
+    rng = random.Random(5)
+    pick = lambda y: f"w{min(int(rng.expovariate(0.08 if y else 0.11)), 70)}"
+    return [(k, " ".join(pick(k % 4 > 0) for _ in range(rng.randrange(3, 40))), int(k % 4 > 0)) for k in range(n)]
+
+
+def test_linear_models_are_the_optimum(spark, monkeypatch):
+    """Each fold's model against Spark's on the same features, both with a tight tolerance; sums by piece change nothing."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+
+    monkeypatch.setattr(model, "TOLERANCE", 1e-12)
+    given = {}
+    own = model._logistic
+
+    def seen(found, parts, factors, iterations):
+        given.update(rows=found.collect(), factors=factors, one=own(found, parts, factors, iterations))
+        monkeypatch.setattr(model, "SENT", 0)
+        given["other"] = own(found, parts, factors, iterations)
+        return given["one"]
+
+    monkeypatch.setattr(model, "_logistic", seen)
+    model.train(spark.createDataFrame(_rows(), "id long, t string, y int").repartition(3), "t", "y", "id", mode="fast", iterations=1000)
+    weights, intercepts = given["one"]
+    assert np.allclose(weights, given["other"][0], atol=1e-6) and np.allclose(intercepts, given["other"][1], atol=1e-5)
+    for k in range(2):
+        rows = []
+        for r in (r for r in given["rows"] if r["_fold"] != k):
+            at, n = np.frombuffer(r["_places"], np.int32), np.frombuffer(r["_counts"], np.int32)
+            rows.append((r["_label"], r["_weight"], Vectors.sparse(len(weights), [(int(i), float(c * given["factors"][i, k])) for i, c in zip(at, n, strict=True) if given["factors"][i, k]])))
+        theirs = LogisticRegression(regParam=1e-3, weightCol="w", labelCol="y", featuresCol="x", maxIter=1000, tol=1e-12).fit(spark.createDataFrame(rows, ["y", "w", "x"]))
+        assert abs(theirs.intercept - intercepts[k]) < 1e-3
+        assert np.abs(theirs.coefficients.toArray() * given["factors"][:, k] - weights[:, k]).max() < 1e-4
+
+
+def test_a_pass_serves_all_folds(spark, monkeypatch):
+    """Training takes jobs by passes, not by passes and folds, and no more passes than a search of one fold needs."""
+    passes = []
+    own = model._summed
+    monkeypatch.setattr(model, "_summed", lambda *a: passes.append(a[3]) or own(*a))
+    fitted = model.train(spark.createDataFrame(_rows(), "id long, t string, y int"), "t", "y", "id", mode="precise", iterations=1000)
+    assert passes[:2] == [6, 3] and passes[1:] == sorted(passes[1:], reverse=True)
+    assert fitted.weights.shape[1] == len(fitted.lines) == 3
+
+
+def test_support_vector_machine(spark):
+    rows = spark.createDataFrame(_rows(), "id long, t string, y int")
+    scored = model.train(rows, "t", "y", "id", kind="linear_svc", mode="fast").score(rows, "t")
+    means = {r["y"]: r["p"] for r in scored.groupBy("y").agg(F.avg("p_rnd").alias("p")).collect()}
+    assert means[1] > means[0]
