@@ -62,7 +62,7 @@ def counter(folds: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Reco
 
 
 class Lookup:
-    """The places of terms in a sorted list, by open addressing with linear probes; the table is made where it is first used."""
+    """The places of terms in a list, by open addressing with linear probes; the table is made where it is first used."""
 
     def __init__(self, terms: np.ndarray):
         self.terms, self.places = terms, None
@@ -110,12 +110,16 @@ def _lists(values: np.ndarray, row: np.ndarray, n: int) -> pa.ListArray:
 
 
 def _binaries(values: np.ndarray, row: np.ndarray, n: int) -> pa.Array:
-    at = np.searchsorted(row, np.arange(n + 1)).astype(np.int32) * np.int32(4)
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values, np.int32))])
+    at = np.searchsorted(row, np.arange(n + 1)).astype(np.int32) * np.int32(values.itemsize)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+#: A larger count is dealt over several entries of its place; these stand side by side.
+MOST = 255
 
 
 def finder(lookup) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Replaces ``_words`` by the places of known terms, ascending, and their counts, as 32-bit integers in binaries.
+    """Replaces ``_words`` by the places of known terms, ascending, as 32-bit integers in binaries, and by their counts, as bytes.
 
     Rows of one fold stand together. lookup: a broadcast of a Lookup.
     """
@@ -128,23 +132,34 @@ def finder(lookup) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBat
             place = lookup.value(term)
             known = place >= 0
             code, count = np.unique(row[known].astype(np.int64) * size + place[known], return_counts=True)
+            if len(count) and count.max() > MOST:
+                entries = -(-count // MOST)
+                last = np.cumsum(entries) - 1
+                code, rest = np.repeat(code, entries), count - (entries - 1) * MOST
+                count = np.full(len(code), MOST)
+                count[last] = rest
             row = code // size
             kept = [batch.column(c) for c in ("_fold", "_label", "_weight")]
-            columns = [*kept, _binaries(code - row * size, row, batch.num_rows), _binaries(count, row, batch.num_rows)]
+            columns = [*kept, _binaries((code - row * size).astype(np.int32), row, batch.num_rows), _binaries(count.astype(np.uint8), row, batch.num_rows)]
             yield pa.RecordBatch.from_arrays(columns, names=["_fold", "_label", "_weight", "_places", "_counts"])
 
     return find
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places and counts of a batch, and where each row's begin."""
+def _flat(batch: pa.RecordBatch, joined: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and counts of a batch, and where each row's begin. joined: large counts whole; sums don't need that."""
     n, found = batch.num_rows, []
-    for c in ("_places", "_counts"):
+    for c, kind in (("_places", np.int32), ("_counts", np.uint8)):
         column = batch.column(c)
         _, at, data = column.buffers()
-        at = np.frombuffer(at, np.int32)[column.offset : column.offset + n + 1] // 4
-        found.append(np.frombuffer(data, np.int32)[at[0] : at[-1]] if data is not None else np.zeros(0, np.int32))
-    return found[0].astype(np.intp), found[1].astype(float), at - at[0]
+        at = np.frombuffer(at, np.int32)[column.offset : column.offset + n + 1] // np.dtype(kind).itemsize
+        found.append(np.frombuffer(data, kind, at[-1])[at[0] :] if data is not None and at[-1] else np.zeros(0, kind))
+    place, count, at = found[0].astype(np.intp), found[1].astype(float), at - at[0]
+    if joined and len(count) and count.max() == MOST:  # entries of one place and row together again
+        row = np.repeat(np.arange(n), np.diff(at))
+        first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (row[1:] != row[:-1])]))
+        place, count, at = place[first], np.add.reduceat(count, first), np.searchsorted(row[first], np.arange(n + 1))
+    return place, count, at
 
 
 def _runs(wanted: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -154,8 +169,8 @@ def _runs(wanted: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Sums of the stretches of x between the places of at; some may be empty."""
-    return np.where(at[1:] > at[:-1], np.add.reduceat(np.append(x, 0.0), at[:-1]), 0.0)
+    """Sums of the stretches of x, which has a 0 more at its end, between the places of at; some may be empty."""
+    return np.where(at[1:] > at[:-1], np.add.reduceat(x, at[:-1]), 0.0)
 
 
 #: Spark's vectors as they stand in rows.
@@ -168,7 +183,7 @@ def vectors(scales, fold: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[
     def scaled(batches):
         scale = np.ascontiguousarray(scales.value[:, fold])
         for batch in batches:
-            place, count, at = _flat(batch)
+            place, count, at = _flat(batch, joined=True)
             n = batch.num_rows
             row, factor = np.repeat(np.arange(n), np.diff(at)), scale[place]
             kept = factor > 0
@@ -196,7 +211,7 @@ def moments(size: int, folds: int) -> Callable[[Iterable[pa.RecordBatch]], Itera
     def of(batches):
         sums, weights, squares = np.zeros((2 * folds, size)), np.zeros(2 * folds), np.zeros(2 * folds)
         for batch in batches:
-            place, count, at = _flat(batch)
+            place, count, at = _flat(batch, joined=True)
             weight, fold = batch.column("_weight").to_numpy(), batch.column("_fold").to_numpy()
             for k in range(folds):
                 for a, b in _runs(fold == k):
@@ -227,13 +242,17 @@ def gradients(points) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Record
             for m, k in enumerate(folds):
                 for a, b in _runs(fold != k):
                     p, c = place[at[a] : at[b]], count[at[a] : at[b]]
-                    x = weights[m].take(p)
-                    x *= c
+                    x = np.zeros(len(p) + 1)
+                    weights[m].take(p, out=x[:-1], mode="clip")
+                    x[:-1] *= c
                     margin = np.where(label[a:b] > 0, 1.0, -1.0) * (_sums(x, at[a : b + 1] - at[a]) + intercepts[m])
                     loss[m] += weight[a:b] @ np.logaddexp(0, -margin)
                     rest = np.where(label[a:b] > 0, -1.0, 1.0) * weight[a:b] * np.exp(-np.logaddexp(0, margin))
                     slope[m] += rest.sum()
-                    sums[m] += np.bincount(p, np.repeat(rest, np.diff(at[a : b + 1])) * c, size)
+                    x = np.repeat(rest, np.diff(at[a : b + 1]))
+                    x *= c
+                    more = np.bincount(p, x)
+                    sums[m, : len(more)] += more
         yield _handed(sums, loss, slope)
 
     return of
@@ -259,7 +278,7 @@ def margins(weights, intercepts: list[float]) -> Callable[[Iterable[pa.RecordBat
         for batch in batches:
             place, count, at = _flat(batch)
             fold = batch.column("_fold").to_numpy()
-            sums = _sums(count * weights.value[place, np.repeat(fold, np.diff(at))], at)
+            sums = _sums(np.append(count * weights.value[place, np.repeat(fold, np.diff(at))], 0.0), at)
             yield pa.RecordBatch.from_arrays([batch.column("_fold"), batch.column("_label"), pa.array(sums + np.array(intercepts)[fold])], names=["_fold", "_label", "_margin"])
 
     return margin

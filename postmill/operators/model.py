@@ -32,7 +32,7 @@ MAX_DF = 0.95
 #: Training rows to a partition where there are more than cores: each partition sends a gradient of all features in each iteration.
 ROWS_OF_PART = 50_000
 #: Bytes of all partitions' gradients that may come to the driver at once; beyond, they are added up by piece before.
-SENT = 64 << 20
+SENT = 32 << 20
 #: Of the linear models: the weight of the squares, and the tolerance.
 PENALTY, TOLERANCE = 1e-3, 1e-6
 
@@ -166,8 +166,8 @@ def _running(sizes: pa.Table, by: str, order: str) -> tuple[np.ndarray, np.ndarr
     return sizes[by].to_numpy(), sizes["size"].to_numpy().cumsum()
 
 
-def _vocabulary(counted: DataFrame, fold: int, folds: int, rows: int, most: int, min_df: int) -> tuple[np.ndarray, np.ndarray]:
-    """Terms of a fold's training rows, and the inverse document frequency of each.
+def _vocabulary(counted: DataFrame, fold: int, folds: int, rows: int, most: int, min_df: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms of a fold's training rows, ascending, the inverse document frequency of each, and its rows.
 
     Of words and of pairs the ``most`` frequent, those of a count that only some may have by their hashes. The cut is found
     in histograms, so no task has to sort all terms.
@@ -199,14 +199,15 @@ def _vocabulary(counted: DataFrame, fold: int, folds: int, rows: int, most: int,
         tied = np.flatnonzero((kind == k) & (n == cut))
         over = tied[np.argsort(term[tied])][rest:]
         term, kind, n, df = (np.delete(x, over) for x in (term, kind, n, df))
-    return term, np.log((rows + 1) / (df + 1))
+    order = np.argsort(term)
+    return term[order], np.log((rows + 1) / (df[order] + 1)), df[order]
 
 
 @dataclass
 class CalibratedClassifier:
     """The mean of the folds' calibrated probabilities.
 
-    names: hashes of the terms, ascending. weights: of one occurrence, by term and fold. lines: slope and intercept of each
+    names: hashes of the terms. weights: of one occurrence, by term and fold. lines: slope and intercept of each
     fold's curve.
     """
 
@@ -262,13 +263,18 @@ def train(df: DataFrame, text: str, label: str, row_id: str, kind: str = "logreg
     with ThreadPoolExecutor(folds) as pool:
         known = list(pool.map(lambda k: _vocabulary(counted, k, folds, sum(v for (_, f), v in sizes.items() if f != k), m["max_features"] // 2, m["min_df"]), range(folds)))
     counted.unpersist()
-    names = np.unique(np.concatenate([x for x, _ in known]))
+    names = np.unique(np.concatenate([x for x, _, _ in known]))
     if not len(names):
         raise ValueError(f"no term is in {m['min_df']} training rows")
+    factors, often = np.zeros((len(names), folds)), np.zeros(len(names))
+    for k, (found, idf, df) in enumerate(known):
+        at = np.searchsorted(names, found)
+        factors[at, k] = idf
+        often[at] += df
+    order = np.argsort(-often, kind="stable")  # what most rows have stands together, near in memory
+    names, factors = names[order], factors[order]
+    del known, often, order
     pa.default_memory_pool().release_unused()
-    factors = np.zeros((len(names), folds))
-    for k, (found, idf) in enumerate(known):
-        factors[np.searchsorted(names, found), k] = idf
 
     lookup = spark.sparkContext.broadcast(terms.Lookup(names))
     parts = max(spark.sparkContext.defaultParallelism, -(-n // ROWS_OF_PART))
